@@ -94,7 +94,7 @@ def lattice(span: str) -> list[list[tuple[str, float]]]:
     for c, group in groupby(span):
         run = len(list(group))
         if c in LEET:
-            ways = [(x, log(0.9 / len(LEET[c]))) for x in LEET[c]] + [("", log(0.002))]
+            ways = [(x, log(0.9 / len(LEET[c]))) for x in LEET[c]] + [("", log(1e-4))]
         elif c.isalpha():
             ways = [(c, log(0.98))]
         else:
@@ -102,7 +102,7 @@ def lattice(span: str) -> list[list[tuple[str, float]]]:
             continue
         out.append(ways)
         if run > 1:
-            keep = 0.9 if run == 2 else 0.5
+            keep = 0.98 if run == 2 else 0.5
             out.append([(x, p + log(keep)) for x, p in ways if x] + [("", log(1 - keep))])
     return out
 
