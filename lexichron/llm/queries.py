@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, secrets, simhash, toxicity
+from . import decontaminate, packing, secrets, simhash, substring, toxicity
 from .common import table
 
 
@@ -31,8 +31,12 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op4_decontaminate, op5_packing, op7_secrets)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op4_decontaminate, op5_packing, op7_secrets, op10_substring)}
 
 
 def oracle_sql() -> dict[str, str]:
