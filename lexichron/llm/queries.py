@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, secrets, simhash, substring, toxicity
+from . import chat, decontaminate, license_scan, packing, secrets, simhash, substring, topk, toxicity
 from .common import table
 
 
@@ -35,9 +35,21 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_blocks(table(spark, sf_dir, "documents"))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op4_decontaminate, op5_packing, op7_secrets, op10_substring)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_licenses, op4_decontaminate, op5_packing, op7_secrets, op8_chat, op9_topk, op10_substring)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_secrets": secrets.sql()}
+    return {"op3_licenses": license_scan.sql(), "op7_secrets": secrets.sql(), "op9_topk": topk.sql()}

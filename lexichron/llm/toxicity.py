@@ -232,8 +232,19 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Model:
     n = known.count()
     if n > rows:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * rows / n))
-    sample = docs.select("doc_id", "text").where("text is not null").join(known, "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+    # the labels are bounded, so each task gets them all and the texts stay where they are
+    pairs = sorted((r.doc_id, int(r.toxic)) for r in known.collect())
+    ids, toxic = np.array([x for x, _ in pairs], np.int64), np.array([x for _, x in pairs], np.int32)
 
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc = batch.column(0).to_numpy()
+            j = np.minimum(np.searchsorted(ids, doc), len(ids) - 1)
+            at = np.flatnonzero(ids[j] == doc) if len(ids) else np.zeros(0, np.int64)
+            chosen = batch.take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([*chosen.columns, pa.array(toxic[j[at]] if len(ids) else toxic)], names=["doc_id", "text", "toxic"])
+
+    sample = docs.select("doc_id", "text").where("text is not null and doc_id is not null").mapInArrow(pick, "doc_id long, text string, toxic int")
     total = sample.agg(F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("pos"), F.count("*").alias("n")).first()
     if not total.pos:
         return Model(lm, np.zeros(0, np.uint64), np.zeros(0), -10.0)
