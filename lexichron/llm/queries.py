@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, license_scan, packing, secrets, simhash, substring, topk, toxicity
-from .common import table
+from . import chat, decontaminate, license_scan, packing, secrets, simhash, substring, topk, toxicity, warczip
+from .common import shared_dir, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +28,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warczip.pages_through_packages(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/packages-{uuid.uuid4().hex}")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -48,8 +53,8 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_licenses, op4_decontaminate, op5_packing, op7_secrets, op8_chat, op9_topk, op10_substring)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_licenses, op4_decontaminate, op5_packing, op6_warc, op7_secrets, op8_chat, op9_topk, op10_substring)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_licenses": license_scan.sql(), "op7_secrets": secrets.sql(), "op9_topk": topk.sql()}
+    return {"op3_licenses": license_scan.sql(), "op6_warc": warczip.SQL, "op7_secrets": secrets.sql(), "op9_topk": topk.sql()}
