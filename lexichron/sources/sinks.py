@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BOM = b"\xef\xbb\xbf"
-#: Text comes back as it was: blank ends kept, quotes doubled, null apart from the empty string.
-CSV = {"header": "true", "escape": '"', "nullValue": r"\N", "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+#: Text comes back as it was, blank ends and all; an empty string comes back as null.
+CSV = {"header": "true", "escape": '"', "nullValue": "", "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def write_csv(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
@@ -20,7 +20,7 @@ def write_single(df: DataFrame, path: str, form: str = "csv", bom: bool = True,
     """One file under exactly this name, for results of a size to open by hand; with a byte order mark if wanted."""
     spark = df.sparkSession
     draft = f"{path}.parts"
-    w = df.coalesce(1).write.mode("overwrite").options(**(CSV | {"nullValue": ""} if form == "csv" else {}) | options)
+    w = df.coalesce(1).write.mode("overwrite").options(**(CSV if form == "csv" else {}) | options)
     w.format(form).save(draft)
     jvm = spark.sparkContext._jvm
     p, to = jvm.org.apache.hadoop.fs.Path(draft), jvm.org.apache.hadoop.fs.Path(path)
