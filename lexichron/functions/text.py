@@ -25,9 +25,8 @@ def collapse(c: Column | str) -> Column:
 
 def extract(c: Column | str, pattern: str, group: int = 1) -> Column:
     """The group of the first match, null where there is none; `.` stops at a line feed only."""
-    p = "(?d)" + pattern
-    c = F.col(c) if isinstance(c, str) else c
-    return F.when(c.rlike(p), F.regexp_extract(c, p, group))
+    # one pass: no match gives an empty array, and that has no first element
+    return F.get(F.regexp_extract_all(c, F.lit("(?d)" + pattern), group), F.lit(0))
 
 
 def found(c: Column | str, pattern: str, group: int = 1) -> Column:

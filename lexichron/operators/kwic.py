@@ -15,18 +15,19 @@ _HEAD = r"(?U)<B>(.*?)\s(\d{4})</B>"
 def parse_kwic(lines: DataFrame, column: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
     """The seven columns of each line (and those to keep). A part without markup is null; of several hits in a line, the left
     context reaches to the last, the keyword is the first, the right context follows the first."""
-    c = F.col(column)
-    body = T.trim(F.regexp_replace(c, r"(?d)<B>.*?</B>", ""))
+    c, body = F.col(column), F.col("_body")
     parts = {
         "source": T.extract(c, _HEAD, 1),
         "year": T.extract(c, _HEAD, 2),
         "kwic": c,
         "text": F.regexp_replace(body, "<U>|</U>", ""),
-        "L-context": T.extract(body, "(.*)<U>"),
+        "L-context": T.extract(body, "(?m)^(.*)<U>"),
         "keyword": T.extract(body, "<U>(.*?)</U>"),
         "R-context": T.extract(body, "</U>(.*)"),
     }
-    return lines.select(*keep, *(parts[k].alias(k) for k in COLUMNS))
+    # the greedy left context begins with its line: saying so keeps the search linear
+    stripped = lines.withColumn("_body", T.trim(F.regexp_replace(c, r"(?d)<B>.*?</B>", "")))
+    return stripped.select(*keep, *(parts[k].alias(k) for k in COLUMNS))
 
 
 def entry_ids(kwic: DataFrame, *order: str) -> DataFrame:
