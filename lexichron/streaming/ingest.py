@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] = lambda df: df, form: str = "parquet", key: str | None = None, files_per_batch: int = 10, rows_per_file: int = 0) -> StreamingQuery:
@@ -22,7 +23,7 @@ def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoin
         if key:
             rows = rows.dropDuplicates([key])
             if _exists(s, target):
-                before = s.read.schema(rows.schema.add("_batch", "long")).parquet(target).where(F.col("_batch") != number)
+                before = s.read.schema(StructType([*rows.schema.fields, StructField("_batch", LongType())])).parquet(target).where(F.col("_batch") != number)
                 rows = rows.join(before.select(key), key, "left_anti").select(*rows.columns)
         w = rows.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file)
         w.parquet(f"{target}/_batch={number}")
