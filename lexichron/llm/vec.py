@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once, so that the numpy temporaries stay small; one longer text is handled alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -61,6 +61,8 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         end = max(at + 1, int(np.searchsorted(n, before + limit, "right")))
         yield batch.slice(at, end - at)
         at = end
+    # what Arrow keeps of this batch's copies would add up over a worker's life
+    pa.default_memory_pool().release_unused()
 
 
 def words(b: np.ndarray, off: np.ndarray, table: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
