@@ -96,7 +96,7 @@ class Join:
         for t, x in enumerate(self.sets):
             for place in range(len(x) - int(self.need[t]) + 1):
                 self.prefix[x[place]].append((t, place))
-        self.has = np.array([bool(x) for x in self.prefix])
+        self.has = np.array([bool(x) for x in self.prefix], bool)
         self.least = int(self.need.min()) if len(self.need) else 1
 
     def match(self, block: np.ndarray, word: np.ndarray) -> list[tuple[int, int, int]]:

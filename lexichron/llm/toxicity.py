@@ -2,8 +2,8 @@
 
 Suspicious spans (letters mixed with digits or symbols, a letter three times or more in a row, single letters set apart) become
 lattices of the characters they may stand for. A Viterbi search under a character trigram model of the whole corpus finds
-the likeliest reading. Plain and restored words and word beginnings are then scored by a logistic model, fitted to a bounded number of labelled
-documents."""
+the likeliest reading. Plain and restored words and word beginnings are then scored by a logistic model, or by the most telling of them
+alone, both fitted to a bounded number of labelled documents."""
 
 from __future__ import annotations
 
@@ -22,9 +22,12 @@ from . import vec
 
 #: At most so many labelled documents are used for fitting (taken by a hash of doc_id).
 LABELLED_ROWS = 50_000
-#: A feature is used if in so many toxic documents, and so many times likelier there than in others.
-LEAST_DOCS, LEAST_RATIO, MOST_FEATURES = 4, 8.0, 20_000
+#: A feature is used if in so many toxic documents, so many times likelier there than in others, and surely telling to this degree: what is toxic
+#: by chance only would add up over a long text.
+LEAST_DOCS, LEAST_RATIO, LEAST_SURE, MOST_FEATURES = 4, 4.0, 0.4, 20_000
 THRESHOLD = 0.5
+#: A feature can decide alone only if it is at least so sure.
+ALONE = 0.9
 #: Word beginnings of these lengths in bytes are features besides whole words.
 BEGINNINGS = (4, 5, 6, 7, 8)
 
@@ -201,6 +204,15 @@ class Model:
     keys: np.ndarray
     weights: np.ndarray
     bias: float
+    #: How sure a feature by itself makes a document toxic.
+    alone: np.ndarray
+
+
+def lower_bound(pos: np.ndarray, neg: np.ndarray, z: float = 3.0) -> np.ndarray:
+    """Wilson's lower bound of the share of toxic documents among those that have a feature."""
+    n = np.maximum(pos + neg, 1)
+    p = pos / n
+    return (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
 def found(texts: pa.Array, lm: np.ndarray, lookup: vec.Lookup | None, memo: dict) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
@@ -247,7 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Model:
     sample = docs.select("doc_id", "text").where("text is not null and doc_id is not null").mapInArrow(pick, "doc_id long, text string, toxic int")
     total = sample.agg(F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("pos"), F.count("*").alias("n")).first()
     if not total.pos:
-        return Model(lm, np.zeros(0, np.uint64), np.zeros(0), -10.0)
+        return Model(lm, np.zeros(0, np.uint64), np.zeros(0), -10.0, np.zeros(0))
 
     def count(batches: Iterator[pa.RecordBatch], only: vec.Lookup | None = None, keys: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
         memo: dict = {}
@@ -269,8 +281,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Model:
     only = vec.Lookup(keys, 20)
     neg = sample.where("toxic = 0").mapInArrow(lambda x: count(x, only, keys), "f long, n long").groupBy("f").agg(F.sum("n").alias("neg"))
     neg = {r.f: r.neg for r in neg.collect()}
+    sure = {f: float(lower_bound(np.array([n]), np.array([neg.get(f, 0)]))[0]) for f, n in pos.items()}
+    least = max(LEAST_SURE, min(0.85, 1.5 * total.pos / total.n))
     ratio = {f: (n / total.pos) / ((neg.get(f, 0) + 0.5) / (total.n - total.pos + 1)) for f, n in pos.items()}
-    best = sorted((f for f in pos if ratio[f] >= LEAST_RATIO), key=lambda f: (-pos[f], f))[:MOST_FEATURES]
+    best = sorted((f for f in pos if ratio[f] >= LEAST_RATIO and sure[f] >= least), key=lambda f: (-pos[f], f))[:MOST_FEATURES]
     keys = np.array(best, np.int64).view(np.uint64)
     lookup = vec.Lookup(keys, 16)
 
@@ -288,35 +302,40 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Model:
         x.append(r.f)
         y.append(r.toxic)
     w, bias = logistic(x, np.array(y, float), len(keys))
-    return Model(lm, keys, w, bias)
+    return Model(lm, keys, w, bias, lower_bound(np.array([pos[f] for f in best], float), np.array([neg.get(f, 0) for f in best], float)))
 
 
-def logistic(rows: list[list[int]], y: np.ndarray, width: int, l2: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Weights >= 0 and bias of a logistic model on binary features."""
+def logistic(rows: list[list[int]], y: np.ndarray, width: int, l2: float = 0.1, steps: int = 1000) -> tuple[np.ndarray, float]:
+    """Weights >= 0 and bias of a logistic model on binary features, by accelerated projected gradients."""
     r = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
     c = np.fromiter((j for x in rows for j in x), np.int64, len(r))
-    n = np.bincount(c, minlength=width) + 1.0
-    w, bias = np.zeros(width), log((y.sum() + 1) / (len(y) - y.sum() + 1))
-    size = max(1.0, np.bincount(r).max() if len(r) else 1.0)
+    most = 1.0 + (np.bincount(r).max() if len(r) else 0)
+    rate = 1 / (0.25 * most * np.append(np.bincount(c, minlength=width), len(y)) + l2 + 1e-9)
+    w = np.append(np.zeros(width), log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+    v, t = w, 1.0
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-(bias + np.bincount(r, weights=w[c], minlength=len(rows)))))
-        g = y - p
-        w = np.maximum(0, w + (np.bincount(c, weights=g[r], minlength=width) - l2 * 0.1 * w) / (0.25 * n * size / 4 + 1))
-        bias += g.sum() / (0.25 * len(y) + 1)
-    return w, float(bias)
+        z = v[-1] + np.bincount(r, weights=v[c], minlength=len(rows))
+        g = y - 1 / (1 + np.exp(-z))
+        new = v + rate * (np.append(np.bincount(c, weights=g[r], minlength=width) - l2 * v[:-1], g.sum()))
+        new[:-1] = np.maximum(0, new[:-1])
+        s = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        v, w, t = new + (t - 1) / s * (new - w), new, s
+    return w[:-1], float(w[-1])
 
 
 def judge(texts: pa.Array, model: Model, lookup: vec.Lookup, memo: dict) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
-    """Score of each text, number of spans restored, and the words that spoke for toxicity."""
+    """Score of each text (the logistic model's, or that of its most telling feature if higher), number of spans restored, and the words that spoke for toxicity."""
     d, f, names, n = found(texts, model.lm, lookup, memo)
     u, first = np.unique(d * (len(model.keys) + 1) + f, return_index=True)
     ud, uf = u // (len(model.keys) + 1), u % (len(model.keys) + 1)
     z = model.bias + (np.bincount(ud, weights=model.weights[uf], minlength=len(texts)) if len(u) else np.zeros(len(texts)))
+    sure = np.zeros(len(texts))
+    np.maximum.at(sure, ud, np.where(model.alone[uf] >= ALONE, model.alone[uf], 0.0))
     terms: list[set[str]] = [set() for _ in range(len(texts))]
     for x, i, j in zip(ud.tolist(), uf.tolist(), first.tolist()):
-        if model.weights[i] > 0:
+        if model.weights[i] > 0 or model.alone[i] >= ALONE:
             terms[x].add(names[j])
-    return 1 / (1 + np.exp(-z)), n, [sorted(t) for t in terms]
+    return np.maximum(1 / (1 + np.exp(-z)), sure), n, [sorted(t) for t in terms]
 
 
 def toxic_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

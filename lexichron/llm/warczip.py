@@ -200,7 +200,7 @@ def read_packages(spark: SparkSession, folder: str) -> DataFrame:
 
     The packages are listed without reading them; a first step reads their directories and indexes, a second fetches spans of records, spread over
     all tasks. Of a package, span or record that can't be read there is one row with the package and the error only. An empty folder's result is
-    empty; records of other types are left out; a body that isn't UTF-8 has replacement characters."""
+    empty, and a file of no bytes is no package; records of other types are left out; a body that isn't UTF-8 has replacement characters."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wacz").option("recursiveFileLookup", "true").load(folder).select("path")
 
     def spans(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
