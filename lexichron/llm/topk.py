@@ -61,12 +61,22 @@ def search(qid: np.ndarray, q: np.ndarray, theta: np.ndarray, xid: np.ndarray, x
         if not len(rows):
             continue
         p = np.round(q[rows] @ x[b].T, DECIMALS) + 0.0
-        p[~keep[rows] | (qid[rows][:, None] == xid[b][None, :])] = -np.inf
-        all_p = np.concatenate([best_p[rows], p], 1)
-        all_i = np.concatenate([best_i[rows], np.broadcast_to(xid[b], p.shape)], 1)
-        top = np.lexsort((all_i, -all_p), axis=1)[:, :k]
-        best_p[rows], best_i[rows] = np.take_along_axis(all_p, top, 1), np.take_along_axis(all_i, top, 1)
-        theta[rows] = np.maximum(theta[rows], best_p[rows, -1])
+        keep = keep[rows] & (p >= theta[rows, None]) & (qid[rows][:, None] != xid[b][None, :])
+        # only what reaches a query's threshold is ranked against what it has
+        i, c = np.nonzero(keep)
+        if not len(i):
+            continue
+        some = np.unique(i)
+        old = np.repeat(rows[some], k)
+        row = np.concatenate([old, rows[i]])
+        value = np.concatenate([best_p[rows[some]].ravel(), p[i, c]])
+        ident = np.concatenate([best_i[rows[some]].ravel(), xid[b][c]])
+        order = np.lexsort((ident, -value, row))
+        row, value, ident = row[order], value[order], ident[order]
+        first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        take = first[:, None] + np.arange(k)
+        best_p[rows[some]], best_i[rows[some]] = value[take], ident[take]
+        theta[rows[some]] = np.maximum(theta[rows[some]], best_p[rows[some], -1])
     r, c = np.nonzero(best_p > -np.inf)
     return pd.DataFrame({"query_id": qid[r], "match_id": best_i[r, c], "product": best_p[r, c]})
 
