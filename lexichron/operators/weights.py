@@ -10,11 +10,14 @@ from ..functions.stats import normal_pdf, smooth_idf
 
 ALL = "all"
 DECIMALS = 9
+#: The density magnifies the last digits of mean and deviation, which depend on the order of summation.
+DENSITY_DECIMALS = 6
 
 
 def term_counts(tokens: DataFrame, *keys: str) -> DataFrame:
     """(keys..., term, tf)."""
-    return tokens.groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    # what a join would add to one of its readers only would keep them from sharing the exchange
+    return tokens.where("term is not null").groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
 def with_all(counts: DataFrame, group: str) -> DataFrame:
@@ -33,9 +36,11 @@ def weighted(counts: DataFrame, group: str, doc: str, norm: str | None = "l1") -
 
     N is the number of documents of the group that have a token. One exchange by document and term feeds both the
     statistics and the join with them."""
-    n = counts.select(group, doc).distinct().groupBy(group).agg(F.count("*").alias("n"))
+    # the filter keeps tf in the plan, so that this reads the same exchange as the rest
+    n = counts.groupBy(group, doc).agg(F.sum("tf").alias("size")).where("size > 0").groupBy(group).agg(F.count("*").alias("n"))
     stats = group_statistics(counts, group, doc).join(n, group).withColumn("idf", smooth_idf(F.col("n"), F.col("docf"))).drop("n")
-    w = counts.join(stats, [group, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
+    # exploded tokens are far larger than the scan they are estimated by: never broadcast them
+    w = counts.hint("merge").join(stats, [group, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
     by = Window.partitionBy(group, doc)
     size = {"l1": F.sum("w").over(by), "l2": F.sqrt(F.sum(F.col("w") * F.col("w")).over(by)), None: F.lit(1.0)}[norm]
     return w.withColumn("weight", F.col("w") / size).drop("w")
@@ -50,6 +55,8 @@ def tfidf(tokens: DataFrame, group: str, doc: str, norm: str = "l1", all_group:
     if all_group:
         counts = with_all(counts, group)
     scored = weighted(counts, group, doc, norm).groupBy(group, "term").agg(F.first("docf").alias("docf"), F.first("count").alias("count"), F.first("idf").alias("idf"), F.round(F.sum("weight"), DECIMALS).alias("tf-idf"))
-    spread = scored.groupBy(group).agg(F.avg("tf-idf").alias("mu"), F.stddev_pop("tf-idf").alias("sd"))
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("tf-idf"), "term")).cast("long")
-    return scored.join(spread, group).select(group, "term", "docf", "count", F.round("idf", DECIMALS).alias("idf"), "tf-idf", F.round(normal_pdf(F.col("tf-idf"), F.col("mu"), F.col("sd")), DECIMALS).alias("normdis"), rank.alias("rank"))
+    # one exchange by group serves the moments and the rank; computing the scores twice to join them would cost far more
+    by = Window.partitionBy(group)
+    rank = F.row_number().over(by.orderBy(F.desc("tf-idf"), "term")).cast("long")
+    spread = scored.withColumns({"mu": F.avg("tf-idf").over(by), "sd": F.stddev_pop("tf-idf").over(by), "rank": rank})
+    return spread.select(group, "term", "docf", "count", F.round("idf", DECIMALS).alias("idf"), "tf-idf", F.round(normal_pdf(F.col("tf-idf"), F.col("mu"), F.col("sd")), DENSITY_DECIMALS).alias("normdis"), "rank")

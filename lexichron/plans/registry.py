@@ -174,7 +174,7 @@ wt AS (SELECT source, doc_id, term, docf, st.count, idf, tf * idf AS w FROM {row
 nw AS (SELECT *, w / {norm} AS x FROM wt WINDOW p AS (PARTITION BY source, doc_id)),
 sc AS (SELECT source, term, any_value(docf) AS docf, any_value(count) AS count, any_value(idf) AS idf, round(sum(x), 9) AS s FROM nw GROUP BY source, term),
 sp AS (SELECT source, avg(s) AS mu, stddev_pop(s) AS sd FROM sc GROUP BY source)
-SELECT source, term, CAST(docf AS BIGINT) AS {docf}, {"CAST(count AS BIGINT) AS count, " if count else ""}round(idf, 9) AS idf, s AS "tf-idf", CASE WHEN sd > 0 THEN round(exp(-pow(s - mu, 2) / (2 * sd * sd)) / (sd * sqrt(2 * pi())), 9) END AS normdis,
+SELECT source, term, CAST(docf AS BIGINT) AS {docf}, {"CAST(count AS BIGINT) AS count, " if count else ""}round(idf, 9) AS idf, s AS "tf-idf", CASE WHEN sd > 0 THEN round(exp(-pow(s - mu, 2) / (2 * sd * sd)) / (sd * sqrt(2 * pi())), 6) END AS normdis,
   row_number() OVER (PARTITION BY source ORDER BY s DESC, term) AS rank FROM sc JOIN sp USING (source) {where}"""
 
 
