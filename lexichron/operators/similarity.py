@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -71,13 +71,15 @@ def over_replicates(matrix: DataFrame) -> DataFrame:
     return matrix.groupBy("year_a", "year_b").agg(F.round(F.avg("sim"), DECIMALS).alias("mean"), F.round(F.stddev_pop("sim"), DECIMALS).alias("std"))
 
 
-def year_similarity(docs: DataFrame, tokens: str, method: str, n: int, replicates: int, group: str = "year", doc: str = "doc_id", seed: str = "") -> DataFrame:
-    """(rep, year_a, year_b, sim) of resampled groups by "count", "docfreq" or "tfidf" vectors; tokens is the column with each document's tokens.
+def year_similarity(docs: DataFrame, tokens: Column | str, method: str, n: int, replicates: int, group: str = "year", doc: str = "doc_id", seed: str = "") -> DataFrame:
+    """(rep, year_a, year_b, sim) of resampled groups by "count", "docfreq" or "tfidf" vectors; tokens is the column, or an expression, with each
+    document's tokens, and doc tells documents apart.
 
-    All replicates are one job."""
-    sampled = sample_groups(docs.select(doc, group, tokens), n, replicates, group, doc, seed)
-    sizes = sampled.groupBy("rep", group).agg(F.count("*").alias("n"))
-    t = sampled.select("rep", group, doc, F.explode(tokens).alias("term"))
+    Only ids are sampled and sorted; texts of documents that some replicate drew are fetched and cut into tokens once. All replicates are one job."""
+    ids = sample_groups(docs.select(doc, group), n, replicates, group, doc, seed)
+    sizes = ids.groupBy("rep", group).agg(F.count("*").alias("n"))
+    drawn = docs.join(ids.select(doc).distinct(), doc, "left_semi").select(doc, (F.col(tokens) if isinstance(tokens, str) else tokens).alias("_tokens"))
+    t = ids.join(drawn, doc).select("rep", group, doc, F.explode("_tokens").alias("term"))
     if method == "count":
         v = count_vectors(t, group)
     elif method == "docfreq":

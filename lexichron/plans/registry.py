@@ -238,8 +238,7 @@ def sample_n(spark, sf_dir):
 
 
 def matrices(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").withColumn("tokens", Tokenizer().tokens("text"))
-    return similarity.year_similarity(d, "tokens", method, SAMPLE, REPLICATES, "source")
+    return similarity.year_similarity(table(spark, sf_dir, "documents"), Tokenizer().tokens("text"), method, SAMPLE, REPLICATES, "source")
 
 
 def _similarity(method: str) -> None:
