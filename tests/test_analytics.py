@@ -95,6 +95,13 @@ def test_topics(spark):
     assert [(k, y) for k, y, _ in topics.by_keyword(kw, k=2, passes=1)] == [("k", "all"), ("k", "a"), ("k", "b")]
 
 
+def test_topics_keep_every_term(spark):
+    # more terms than CountVectorizer takes unasked, each of them once
+    d = spark.range(0, 270, 1, 4).select(F.transform(F.sequence(F.col("id") * 1000, F.col("id") * 1000 + 999), lambda i: i.cast("string")).alias("tokens"))
+    assert len(set(topics.fit_topics(d, k=2, passes=1).counter.vocabulary)) == 270_000
+    assert len(topics.fit_topics(d.limit(1), k=2, passes=1, vocabulary=10).counter.vocabulary) == 10
+
+
 PAGE = """<ul id="ul_articlelist">
 <li><div><a href="#">宪政 &amp; 民权</a><a>other</a></div>
 <p><b>作　　者：</b>张三、李四</p><p>出处：《史学》 1998年 第十期 3-9</p><p><b>关键词：</b>宪政;民权</p>
