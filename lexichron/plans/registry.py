@@ -274,19 +274,19 @@ def _tokens_of(spark, sf_dir) -> DataFrame:
 @query()
 def lda_doc_topics(spark, sf_dir):
     d = _tokens_of(spark, sf_dir)
-    m = topics.fit_topics(d, k=7, passes=2, seed=1938)
+    m = topics.fit_topics(d, k=7, passes=20, seed=1938)
     return topics.topic_columns(m.documents(d, least=0.01).drop("tokens"), 7)
 
 
 @query()
 def lda_topic_terms(spark, sf_dir):
-    return topics.fit_topics(_tokens_of(spark, sf_dir), k=15, passes=2, seed=42).terms(10)
+    return topics.fit_topics(_tokens_of(spark, sf_dir), k=15, passes=20, seed=42).terms(10)
 
 
 @query()
 def sim_lda(spark, sf_dir):
-    d = similarity.sample_groups(_tokens_of(spark, sf_dir), SAMPLE, 1, "source")
-    return similarity.over_replicates(topics.topic_similarity(d, group="source", k=10, passes=2))
+    d = similarity.sample_groups(_tokens_of(spark, sf_dir), SAMPLE, REPLICATES, "source")
+    return similarity.over_replicates(topics.topic_similarity(d, group="source", k=10, passes=15))
 
 
 # Journal records

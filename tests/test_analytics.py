@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexichron.operators import pages, similarity, topics, weights
+from lexichron.plans import registry
 from lexichron.sources import readers, sinks
 from lexichron.streaming.ingest import ingest
 
@@ -102,6 +103,21 @@ def test_topics_keep_every_term(spark):
     assert len(topics.fit_topics(d.limit(1), k=2, passes=1, vocabulary=10).counter.vocabulary) == 10
 
 
+def test_topic_queries_fit_as_the_reference_does(spark, monkeypatch):
+    seen = []
+
+    def fit(docs, tokens="tokens", k=15, passes=20, seed=42, vocabulary=None):
+        seen.append((k, passes, vocabulary))
+        return fitted(docs, tokens, k, 1, seed, vocabulary)
+
+    fitted = topics.fit_topics
+    monkeypatch.setattr(topics, "fit_topics", fit)
+    monkeypatch.setattr(registry, "_tokens_of", lambda *_: spark.createDataFrame([(i, "ab"[i % 2], ["sun", "sea", f"w{i}"]) for i in range(30)], "doc_id long, source string, tokens array<string>"))
+    for name in ("lda_doc_topics", "lda_topic_terms", "sim_lda"):
+        registry.QUERIES[name](spark, "")
+    assert seen == [(7, 20, None), (15, 20, None)] + [(10, 15, None)] * registry.REPLICATES
+
+
 PAGE = """<ul id="ul_articlelist">
 <li><div><a href="#">宪政 &amp; 民权</a><a>other</a></div>
 <p><b>作　　者：</b>张三、李四</p><p>出处：《史学》 1998年 第十期 3-9</p><p><b>关键词：</b>宪政;民权</p>
