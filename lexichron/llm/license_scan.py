@@ -4,10 +4,14 @@ A block is a line of a text; its and a template's token sets are compared by con
 has. Tokens are ordered by how many blocks of the whole corpus have them, rarest first. A block can only meet the
 threshold if it has one of a template's prefix tokens (prefix filter), enough template tokens at all (length filter), and enough of
 them at or after the place where the two first meet (positional filter); what is left is counted in full. Tokens
-that are in no template can't add to an overlap and are dropped from the blocks beforehand."""
+that are in no template can't add to an overlap and are dropped from the blocks beforehand.
+
+A template wrapped over lines is found in a second look at texts that meet it as a whole: a run of lines is a block too if a stretch of its
+words, no longer than the template's by more than the threshold allows, meets the template where none of its lines does."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from math import ceil
 
@@ -39,8 +43,6 @@ _LOWER[65:91] += 32
 
 def tokens(text: str) -> list[str]:
     """Distinct runs of ASCII letters and digits, in lower case, in order of first appearance."""
-    import re
-
     return list(dict.fromkeys(re.findall(r"[0-9a-z]+", text.translate({i: i + 32 for i in range(65, 91)}))))
 
 
@@ -49,8 +51,8 @@ class Vocabulary:
         self.words = sorted({t for x in templates.values() for t in tokens(x)})
         self.lookup = vec.Lookup(vec.hash_words(self.words), 16)
 
-    def blocks(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(block, word): each template token of each block once; and each block's text, first and last byte + 1."""
+    def occurrences(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(block, word, at): each template token wherever it occurs, and which word of all it is; and each block's text, first and last byte + 1."""
         b, off = vec.raw(texts)
         lower = _LOWER[b]
         s, e, _ = vec.words(lower, off, _TOKEN)
@@ -59,10 +61,14 @@ class Vocabulary:
         line = np.flatnonzero(b == 10) + 1
         begin = np.unique(np.concatenate([off[:-1], line[line < len(b)]]))
         block = np.searchsorted(begin, s[at], "right") - 1
-        pairs = np.unique(block * len(self.words) + word)
         text = np.searchsorted(off, begin, "right") - 1
         end = np.append(begin[1:], len(b))
-        return pairs // len(self.words), pairs % len(self.words), text, begin, end
+        return block, word, at, text, begin, end
+
+    def once(self, block: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(block, word): each token of each block once."""
+        pairs = np.unique(block * len(self.words) + word)
+        return pairs // len(self.words), pairs % len(self.words)
 
 
 def frequencies(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
@@ -72,7 +78,7 @@ def frequencies(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
         n = np.zeros(len(vocabulary.words), np.int64)
         for batch in batches:
             for part in vec.slices(batch, "text"):
-                n += np.bincount(vocabulary.blocks(part.column(0))[1], minlength=len(n))
+                n += np.bincount(vocabulary.once(*vocabulary.occurrences(part.column(0))[:2])[1], minlength=len(n))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], names=["word", "n"])
 
     out = np.zeros(len(vocabulary.words), np.int64)
@@ -92,6 +98,8 @@ class Join:
         number = {w: i for i, w in enumerate(vocabulary.words)}
         self.sets = [np.sort(self.rank[[number[w] for w in tokens(templates[n])]]) for n in self.names]
         self.need = np.array([max(1, ceil(threshold * len(x) - 1e-9)) for x in self.sets], np.int64)
+        self.length = [len(re.findall("[0-9a-z]+", templates[n].lower())) for n in self.names]
+        self.most = [int(n / threshold + 1e-9) if threshold > 0 else n for n in self.length]
         self.prefix = [[] for _ in order]
         for t, x in enumerate(self.sets):
             for place in range(len(x) - int(self.need[t]) + 1):
@@ -123,9 +131,60 @@ class Join:
                     out.append((int(block[i]), t, n))
         return out
 
+    def wrapped(self, block: np.ndarray, word: np.ndarray, at: np.ndarray, text: np.ndarray, met: list[tuple[int, int, int]], once) -> list[tuple[int, int, int, int]]:
+        """(first block, last block, template, overlap) of the runs of blocks that meet a template where no block of them does; `met` are the blocks that do."""
+        own = text[block]
+        alone: dict[tuple[int, int], list[int]] = {}
+        for b, t, _ in met:
+            alone.setdefault((int(text[b]), t), []).append(b)
+        out = []
+        # a run can only meet what its whole text meets
+        for d, t, _ in self.match(*once(own, word)):
+            i = np.arange(*np.searchsorted(own, [d, d + 1]))
+            i = i[np.isin(self.rank[word[i]], self.sets[t])]
+            bars = np.array(sorted(alone.get((d, t), [])), np.int64)
+            i = i[~np.isin(block[i], bars)]
+            # runs end at a block that meets the template by itself
+            piece = np.searchsorted(bars, block[i])
+            for own_piece in np.split(i, np.flatnonzero(np.diff(piece)) + 1):
+                for x, y in stretches(at[own_piece].tolist(), word[own_piece].tolist(), self.length[t], self.most[t], int(self.need[t])):
+                    a, z = int(block[own_piece[x]]), int(block[own_piece[y]])
+                    lo, hi = np.searchsorted(block, a), np.searchsorted(block, z, "right")
+                    out.append((a, z, t, len(np.intersect1d(self.rank[word[lo:hi]], self.sets[t]))))
+        return out
+
 
-def license_blocks(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, block, template, overlap, containment, text): every line of a text with at least `threshold` of a template's tokens.
+def stretches(at: list[int], word: list[int], own: int, most: int, need: int) -> list[tuple[int, int]]:
+    """(first, last) of stretches that don't overlap, each of at most `most` places and with `need` different words: from the left, the fullest
+    of those that overlap the next one; on a tie the first, drawn out to `own` places."""
+    out = []
+    count: dict[int, int] = {}
+    left, y, best, until = 0, 0, None, -1
+    while True:
+        if best is not None and (y == len(at) or left > until):
+            out.append(best[1:])
+            left = y = best[2] + 1
+            count, best = {}, None
+        if y == len(at):
+            return out
+        count[word[y]] = count.get(word[y], 0) + 1
+        # what a word later in the stretch repeats adds nothing at its beginning
+        while at[y] - at[left] >= most or count[word[left]] > 1:
+            count[word[left]] -= 1
+            if not count[word[left]]:
+                del count[word[left]]
+            left += 1
+        if len(count) >= need and (best is None or left <= until):
+            if best is None:
+                until = y
+            if best is None or len(count) > best[0] or len(count) == best[0] and left == best[1] and at[y] - at[left] < own:
+                best = (len(count), left, y)
+        y += 1
+
+
+def license_blocks(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, wrapped: bool = False) -> DataFrame:
+    """(doc_id, block, template, overlap, containment, text): every line of a text with at least `threshold` of a template's tokens; if `wrapped`, also
+    every run of lines that holds a template wrapped over them, under the number of its first line.
 
     block counts the lines of a text from 0; every template that a line meets gives a row. Null and empty texts and lines without a token
     match nothing; templates without a token are ignored; a null doc_id is kept as null; repeated rows match again; an empty
@@ -136,11 +195,14 @@ def license_blocks(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thres
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in vec.slices(batch, "text"):
-                block, word, text, begin, end = vocabulary.blocks(part.column(1))
-                found = join.match(block, word)
-                k, t, n = (np.array(x, np.int64) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+                block, word, at, text, begin, end = vocabulary.occurrences(part.column(1))
+                met = join.match(*vocabulary.once(block, word))
+                found = [(b, b, t, n) for b, t, n in met]
+                if wrapped:
+                    found += join.wrapped(block, word, at, text, met, vocabulary.once)
+                k, z, t, n = (np.array(x, np.int64) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 4
                 raw = vec.raw(part.column(1))[0].tobytes() if found else b""
-                lines = [raw[begin[i] : end[i]].decode("utf8").removesuffix("\n") for i in k.tolist()]
+                lines = [raw[begin[i] : end[j]].decode("utf8").removesuffix("\n") for i, j in zip(k.tolist(), z.tolist())]
                 number = k - np.searchsorted(text, text[k])
                 share = [x / len(join.sets[y]) for x, y in zip(n.tolist(), t.tolist())]
                 yield pa.RecordBatch.from_arrays(

@@ -41,7 +41,7 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.license_blocks(table(spark, sf_dir, "documents"))
+    return license_scan.license_blocks(table(spark, sf_dir, "documents"), wrapped=True)
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

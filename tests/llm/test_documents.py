@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -233,6 +234,29 @@ def test_licenses_awkward(spark, awkward):
     assert license_scan.license_blocks(twice, {"none": "..."}).collect() == []
 
 
+@pytest.mark.parametrize("width", [72, 80, 100])
+def test_wrapped_licenses(spark, width):
+    rng = random.Random(width)
+    prose = [" ".join(words(rng, 12)) for _ in range(4)]
+    texts, want = [], set()
+    for name, t in license_scan.TEMPLATES.items():
+        ls = textwrap.wrap(t, width)
+        if len(ls) == 1:
+            continue
+        for mark in ("", " * ", "# "):
+            # twice, and once more on one line, which counts by itself
+            own = [mark + x for x in ls]
+            texts.append("\n".join([*prose[:2], *own, "", *own, t, *prose[2:]]))
+            i = len(texts) - 1
+            want |= {(i, 2, name, 1.0, "\n".join(own)), (i, 3 + len(ls), name, 1.0, "\n".join(own)), (i, 3 + 2 * len(ls), name, 1.0, t)}
+    names = {w[2] for w in want}
+    assert names >= {"mit", "apache-2.0", "bsd", "gpl"}
+    got = license_scan.license_blocks(frame(spark, texts, clash=True), wrapped=True).collect()
+    assert {(r.doc_id, r.block, r.template, r.containment, r.text) for r in got if (r.doc_id, r.template) in {(w[0], w[2]) for w in want}} == want
+    far = "\n".join(w + "\n" + " ".join(words(rng, 30)) for w in license_scan.TEMPLATES["bsd"].split())
+    assert license_scan.license_blocks(frame(spark, [far, None, "", "\n\n"]), wrapped=True).collect() == []
+
+
 # Decontamination
 
 
