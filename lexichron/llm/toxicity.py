@@ -45,6 +45,8 @@ _LEET = np.zeros(256, bool)
 _LEET[[ord(c) for c in LEET]] = True
 _SIGN = np.zeros(256, bool)
 _SIGN[[ord(c) for c in "@$!|+"]] = True
+_MONEY = np.zeros(256, bool)
+_MONEY[[ord(c) for c in "@$"]] = True
 _ALNUM = vec.WORD.copy()
 _ALNUM[ord("_")] = False
 _LETTER = np.zeros(256, bool)
@@ -143,10 +145,14 @@ def suspicious(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = np.zeros(len(b) + 1, bool)
     edge[off] = True
     alnum = _ALNUM[b]
-    after = np.append(alnum[1:], False) & ~edge[1:]
-    before = np.append(False, alnum[:-1]) & ~edge[:-1]
-    follows = np.append(b[1:] == b[:-1], False) | np.append(False, b[1:] == b[:-1])
-    w = alnum | (_SIGN[b] & (after | (before & ~follows & ((b == ord("$")) | (b == ord("@"))))))
+    # whole runs of signs before a letter or digit, and of those that seldom are punctuation also after one
+    kept = np.zeros(len(b) + 1, np.int32)
+    for table, side in ((_SIGN, 1), (_MONEY, 0)):
+        s, e, _ = vec.words(b, off, table)
+        touch = alnum[np.minimum(e, len(b) - 1)] & ~edge[e] if side else alnum[s - 1] & ~edge[s]
+        kept[s[touch]] += 1
+        kept[e[touch]] -= 1
+    w = alnum | (np.cumsum(kept[:-1]) > 0)
     # words() takes a table over byte values; give it the mask as bytes
     s, e, _ = vec.words(w.view(np.uint8), off, np.array([False] + [True] * 255))
     cum = lambda m: np.concatenate([[0], np.cumsum(m)])
@@ -156,11 +162,12 @@ def suspicious(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     triple = cum(triple)
     inside = lambda c: c[e] - c[s]
     hit = ((inside(leet) > 0) & (inside(letter) > 0)) | ((inside(triple) > 0) & (inside(letter) > 2))
-    # single letters or digits with one separator between them
+    # single letters or digits with nothing but separators between them
     one = (e - s == 1) & (_LETTER[b[s]] | _LEET[b[s]])
     joined = np.zeros(len(s), bool)
     if len(s) > 1:
-        joined[1:] = one[1:] & one[:-1] & (s[1:] - e[:-1] == 1) & _GAP[b[np.minimum(e[:-1], len(b) - 1)]] & ~edge[s[1:]] & ~edge[e[:-1]]
+        gap, border = cum(_GAP[b]), cum(edge)
+        joined[1:] = one[1:] & one[:-1] & (s[1:] > e[:-1]) & (gap[s[1:]] - gap[e[:-1]] == s[1:] - e[:-1]) & (border[s[1:] + 1] == border[e[:-1]])
     first = np.flatnonzero(one & ~joined)
     ends = np.append(np.flatnonzero(~joined)[1:], len(s))
     last = ends[np.searchsorted(np.flatnonzero(~joined), first)] - 1

@@ -141,6 +141,24 @@ def test_disguised_words(spark, toxic_corpus, span, word):
     assert [r.doc_id for r in got] == [0] and word in got[0].terms and got[0].n_restored == 2
 
 
+@pytest.mark.parametrize("span", ["i  d  i  o  t", "i - d - i - o - t", "i ... d   i -- o _ t", "1 -  d - 1 - 0 - 7"])
+def test_letters_far_apart(spark, toxic_corpus, span):
+    _, model = toxic_corpus
+    got = toxicity.toxic_documents(frame(spark, [f"the eron {span} tion", "i", " d", "i o", "t", "a -  b - c"]), model).collect()
+    assert [(r.doc_id, r.n_restored) for r in got] == [(0, 1)] and "idiot" in got[0].terms
+
+
+def test_doubled_signs(spark, toxic_corpus):
+    _, model = toxic_corpus
+    texts = ["an a$$hole", "a$$", "$$a b", "x@$ y", "k!!ll us!!", "c++ $$ a", "a", "$$", "b$$!", "$$$ 5$$$"]
+    b, off = vec.raw(pa.array(texts))
+    raw = b.tobytes().decode()
+    assert [raw[x:y] for x, y in zip(*toxicity.suspicious(b, off))] == ["a$$hole", "a$$", "$$a", "x@$", "k!!ll", "b$$"]
+    assert toxicity.restore("worthle$$", model.lm)[0] == "worthless"
+    got = toxicity.toxic_documents(frame(spark, ["the eron $$$1d1ot$$$ tion", "the m0ron$$$", "eron$$$ tion$$"]), model).collect()
+    assert {r.doc_id for r in got} >= {1} and 2 not in {r.doc_id for r in got}
+
+
 def test_viterbi_equals_enumeration(toxic_corpus):
     _, model = toxic_corpus
     rng = random.Random(4)
