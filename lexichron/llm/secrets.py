@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 
 from . import vec
 
-#: Rule name and expression, in the syntax that Python (with re.ASCII) and RE2 share.
-RULES = {
+#: Rule name and expression, in the syntax that Python (with re.ASCII) and RE2 share; the SQL uses these.
+SHARED = {
     "aws_access_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "github_token": r"\bgh[pousr]_[0-9A-Za-z]{36}\b",
     "slack_token": r"\bxox[abprs]-[0-9A-Za-z-]{10,72}",
@@ -29,6 +29,13 @@ RULES = {
     "assignment": r"(?i:\b(?:token|secret|password|passwd|api_?key)[ \t]?[=:][ \t]?[\"']?[0-9a-z+/_-]{16,}[\"']?)",
     "hex_digest": r"\b(?:[0-9a-f]{40}|[0-9A-F]{40})\b",
 }
+_KEY = r"(?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----"
+#: What Python looks for: a key up to its END line or, if that is missing, the end of its base64 lines; names that end in one of the words after "_" or
+#: "-", and quoted names.
+RULES = SHARED | {
+    "private_key": rf"-----BEGIN {_KEY}(?:[^-]*+(?:-{{1,4}}+[^-]++)*+-----END {_KEY}|(?:\s+(?:Proc-Type|DEK-Info):[^\n]*)*(?:(?:\s|\\[rn])+[0-9A-Za-z+/]{{16,}}={{0,2}})*(?:(?:\s|\\[rn])+[0-9A-Za-z+/]{{2,}}={{1,2}})?)",
+    "assignment": r"(?i:(?<![0-9a-z])(?:token|secret|password|passwd|api_?key)[\"']?[ \t]?[=:][ \t]?[\"']?[0-9a-z+/_-]{16,}[\"']?)",
+}
 #: Strings that one part of an expression may stand for, before it counts as anything.
 MOST_STRINGS, MOST_CLASS = 64, 8
 ALL = ("all",)
@@ -221,7 +228,7 @@ def cover(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def sql(rules: dict[str, str] = RULES) -> str:
+def sql(rules: dict[str, str] = SHARED) -> str:
     values = ", ".join("('{}', '{}')".format(k, p.replace("'", "''")) for k, p in rules.items())
     return f"""
 WITH r(rule, rx) AS (VALUES {values}),
