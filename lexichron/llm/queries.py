@@ -49,7 +49,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.top_k(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(table(spark, sf_dir, "embeddings"), every=topk.QUERY_STEP)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

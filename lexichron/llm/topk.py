@@ -7,14 +7,24 @@ is verified by its full product."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import cut
+
 K = 10
-BUCKET, BLOCK_ROWS, LEAST_BLOCKS = 512, 1 << 14, 6
+#: The query op9_topk asks for each vector whose id is divisible by this.
+QUERY_STEP = 100
+#: Vectors pruned together; vectors (and coordinates) of a block, which is one task's share of them.
+BUCKET, BLOCK_ROWS, BLOCK_NUMBERS, LEAST_BLOCKS = 512, 1 << 14, 1 << 22, 6
+#: Vectors that give the first thresholds, of so many dimensions (those with most vectors).
+SEEDS, SEEDED = 512, 8
 #: From this local cosine on, coordinates prune better than they cost.
 COORDINATE_COSINE, FOCUS = 0.9, 3
 #: Products are compared to this many decimals; equal ones rank by id.
@@ -81,53 +91,105 @@ def search(qid: np.ndarray, q: np.ndarray, theta: np.ndarray, xid: np.ndarray, x
     return pd.DataFrame({"query_id": qid[r], "match_id": best_i[r, c], "product": best_p[r, c]})
 
 
-def matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.zeros((0, 1))
+def flat(t: pa.Table, width: int) -> np.ndarray:
+    """The vectors of some rows, which all have so many coordinates, as a matrix."""
+    v = t.column("v").combine_chunks()
+    return v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+
+
+def seeds(laid: DataFrame, dims: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Ids and coordinates of the SEEDS longest vectors of each of these dimensions."""
+    by = Window.partitionBy("dim").orderBy(F.desc("norm"), "vec_id")
+    rows = laid.where(F.col("dim").isin(dims)).withColumn("n", F.row_number().over(by)).where(F.col("n") <= SEEDS).select("dim", "vec_id", "v").collect()
+    out = {}
+    for d in dims:
+        own = sorted((r.vec_id, r.v) for r in rows if r.dim == d)
+        out[d] = np.array([i for i, _ in own], np.int64), np.array([x for _, x in own], np.float64)
+    return out
+
 
+def top_k(vectors: DataFrame, k: int = K, every: int = 1) -> DataFrame:
+    """(query_id, rank, match_id, product): for each vector whose vec_id is divisible by `every` the k others with the largest inner product, of all
+    vectors, exactly.
 
-def top_k(vectors: DataFrame, k: int = K) -> DataFrame:
-    """(query_id, rank, match_id, product): for every vector the k others with the largest inner product, exactly.
+    Products are rounded to DECIMALS; of equal ones the lower vec_id comes first. Vectors are compared with those of their own dimension only. Null and
+    empty vectors, vectors with a null, NaN or infinite coordinate or whose squared length is beyond a double, and rows with a null vec_id are
+    ignored; of repeated rows of one vec_id the first by coordinates counts; with fewer than k others there are fewer rows; an empty table gives an
+    empty result; other columns are not read.
 
-    Products are rounded to DECIMALS; of equal ones the lower vec_id comes first. Null and empty vectors, vectors with a null coordinate, and rows
-    with a null vec_id are ignored; of repeated rows of one vec_id the first by coordinates counts; all vectors must be of one
-    dimension; with fewer than k others there are fewer rows; an empty table gives an empty result; other columns are not read."""
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where("vec_id is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x))")
-    v = v.groupBy("vec_id").agg(F.min("v").alias("v"))
-    n = v.count()
+    Vectors are laid out once, by dimension and falling length, in buckets; a query has its first threshold from the longest vectors and goes only
+    to the buckets that its threshold and length allow, and a bucket only to blocks of queries of which one needs it."""
+    spark = vectors.sparkSession
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind if kind == "array<float>" else "array<double>").alias("v"))
+    v = v.where("vec_id is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity'))")
+    n, numbers = v.agg(F.count("*"), F.sum(F.size("v"))).first()
     if not n:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, match_id long, product double")
-    blocks = max(LEAST_BLOCKS, -(-n // BLOCK_ROWS))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    # a bounded bucket of the longest vectors gives every query its first threshold
-    seed = v.orderBy(norm.desc(), "vec_id").limit(BUCKET).collect()
-    seed_id, seed_x = np.array([r.vec_id for r in seed], np.int64), np.array([r.v for r in seed], np.float64)
-    spread = v.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("b"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    pairs = spread.select(F.col("b").alias("i"), every.alias("j"), F.lit(True).alias("query"), "vec_id", "v").unionAll(spread.select(every.alias("i"), F.col("b").alias("j"), F.lit(False).alias("query"), "vec_id", "v"))
-
-    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        is_q = f["query"].to_numpy(bool)
-        qs, xs = f[is_q], f[~is_q]
-        if not len(qs) or not len(xs):
-            return pd.DataFrame({"query_id": [], "match_id": [], "product": []})
-        qid, q, xid, x = qs["vec_id"].to_numpy(np.int64), matrix(qs["v"]), xs["vec_id"].to_numpy(np.int64), matrix(xs["v"])
+        return spark.createDataFrame([], "query_id long, rank int, match_id long, product double")
+    blocks = max(LEAST_BLOCKS, -(-n // BLOCK_ROWS), -(-numbers // BLOCK_NUMBERS))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    v = v.groupBy("vec_id").agg(F.min("v").alias("v")).select("vec_id", "v", F.size("v").alias("dim"), norm.alias("norm")).where("norm < double('infinity')")
+    laid = cut(v.repartitionByRange(blocks, "dim", F.desc("norm"), F.xxhash64("vec_id")).withColumn("block", F.spark_partition_id()))
+    # one row a bucket: the vectors of one dimension in one block
+    buckets = laid.groupBy("dim", "block").agg(F.max("norm").alias("longest"), F.count("*").alias("n")).orderBy("dim", F.desc("longest"), "block").collect()
+    if not buckets:
+        return spark.createDataFrame([], "query_id long, rank int, match_id long, product double")
+    lengths = {d: np.array([b.longest for b in buckets if b.dim == d]) for d in {b.dim for b in buckets}}
+    begin = {d: next(i for i, b in enumerate(buckets) if b.dim == d) for d in lengths}
+    count = {d: sum(b.n for b in buckets if b.dim == d) for d in lengths}
+    seed = seeds(laid, sorted(count, key=lambda d: (-count[d], d))[:SEEDED])
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the first threshold of each query, and how many buckets may reach it
+        for batch in batches:
+            ids, dim, qn = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("vec_id", "dim", "norm"))
+            theta, need = np.full(len(ids), -np.inf), np.zeros(len(ids), np.int32)
+            for d in np.unique(dim).tolist():
+                at = np.flatnonzero(dim == d)
+                if d in seed and len(seed[d][0]) >= k:
+                    first = np.round(flat(pa.Table.from_batches([batch.take(pa.array(at))]), d) @ seed[d][1].T, DECIMALS)
+                    first[ids[at][:, None] == seed[d][0][None, :]] = -np.inf
+                    theta[at] = np.partition(first, -k, axis=1)[:, -k]
+                # a rounded product may be half a unit above the true one
+                reach = qn[at][:, None] * lengths[d][None, :] * (1 + 1e-9) >= (theta[at] - 10.0**-DECIMALS)[:, None]
+                need[at] = np.where(reach.any(1), len(lengths[d]) - reach[:, ::-1].argmax(1), 0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in ("vec_id", "v", "dim")), pa.array(theta), pa.array(need)], names=["vec_id", "v", "dim", "theta", "need"])
+
+    asked = laid.where(F.pmod("vec_id", F.lit(every)) == 0)
+    m = asked.count()
+    groups = max(1, -(-m // BLOCK_ROWS), -(-(m * numbers // n) // BLOCK_NUMBERS))
+    asked = asked.select("vec_id", "v", "dim", "norm").mapInArrow(start, f"vec_id long, v {laid.schema['v'].dataType.simpleString()}, dim int, theta double, need int").where("need > 0")
+    # queries that need equally many buckets together
+    asked = cut(asked.repartitionByRange(groups, "dim", "need", F.xxhash64("vec_id")).withColumn("i", F.spark_partition_id()))
+    most = asked.groupBy("dim", "i").agg(F.max("need").alias("need")).collect()
+    # as a table, one row a bucket and block of queries that need it in part
+    links = [(b.dim, b.block, j, sorted(q.i for q in most if q.dim == b.dim and q.need > j - begin[b.dim])) for j, b in enumerate(buckets)]
+    links = spark.createDataFrame(links, "dim int, block int, j int, to array<int>").where("size(to) > 0")
+    first = F.element_at(F.create_map(*(F.lit(x) for d, j in begin.items() for x in (d, j))), F.col("dim"))
+    q = asked.select("i", F.explode(F.sequence(first, first + F.col("need") - 1)).alias("j"), F.lit(True).alias("query"), "theta", "vec_id", "v", "dim")
+    x = laid.join(F.broadcast(links), ["dim", "block"]).select(F.explode("to").alias("i"), "j", F.lit(False).alias("query"), F.lit(0.0).alias("theta"), "vec_id", "v", "dim")
+
+    def run(t: pa.Table) -> pa.Table:
+        is_q = t.column("query").to_numpy()
+        qs, xs = t.filter(pa.array(is_q)), t.filter(pa.array(~is_q))
         out = []
-        for at in range(0, len(qid), 2048):
-            c = slice(at, at + 2048)
-            first = np.round(q[c] @ seed_x.T, DECIMALS)
-            first[qid[c][:, None] == seed_id[None, :]] = -np.inf
-            theta = np.partition(first, -k, axis=1)[:, -k] if first.shape[1] >= k else np.full(len(first), -np.inf)
-            out.append(search(qid[c], q[c], theta, xid, x, k))
-        return pd.concat(out)
-
-    found = pairs.groupBy("i", "j").applyInPandas(run, "query_id long, match_id long, product double")
+        if qs.num_rows and xs.num_rows:
+            width = t.column("dim")[0].as_py()
+            qid, theta, xid, x = qs.column("vec_id").to_numpy(), qs.column("theta").to_numpy(), xs.column("vec_id").to_numpy(), flat(xs, width)
+            for at in range(0, len(qid), 2048):
+                out.append(search(qid[at : at + 2048], flat(qs.slice(at, 2048), width), theta[at : at + 2048], xid, x, k))
+        names = ("query_id", "match_id", "product")
+        kinds = (np.int64, np.int64, np.float64)
+        return pa.table({c: np.concatenate([np.zeros(0, t), *(o[c] for o in out)]).astype(t) for c, t in zip(names, kinds)})
+
+    found = q.unionAll(x).groupBy("i", "j").applyInArrow(run, "query_id long, match_id long, product double")
     order = Window.partitionBy("query_id").orderBy(F.desc("product"), "match_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "match_id", "product")
 
 
-def sql(k: int = K) -> str:
+def sql(k: int = K, every: int = QUERY_STEP) -> str:
     return f"""
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-p AS (SELECT a.vec_id AS query_id, b.vec_id AS match_id, round(list_inner_product(a.v, b.v), {DECIMALS}) + 0.0 AS product FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+p AS (SELECT a.vec_id AS query_id, b.vec_id AS match_id, round(list_inner_product(a.v, b.v), {DECIMALS}) + 0.0 AS product FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % {every} = 0),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY product DESC, match_id) AS INTEGER) AS rank, match_id, product FROM p)
 SELECT query_id, rank, match_id, product FROM r WHERE rank <= {k}"""

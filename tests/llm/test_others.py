@@ -88,6 +88,21 @@ def test_top_k_equals_brute_force(spark, shape):
         order = sorted((j for j in range(len(x)) if j != i), key=lambda j: (-p[i, j], j))[:5]
         want += [(i, r, j) for r, j in enumerate(order, 1)]
     assert sorted((r.query_id, r.rank, r.match_id) for r in topk.top_k(df, 5).collect()) == want
+    assert sorted((r.query_id, r.rank, r.match_id) for r in topk.top_k(df, 5, 100).collect()) == [w for w in want if w[0] % 100 == 0]
+
+
+def test_top_k_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(topk, "SEEDS", 20)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(900, 4)) * rng.lognormal(0, 1.5, (900, 1))
+    rows = [(i, v.tolist()[: 4 if i % 3 else 3]) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = []
+    for i, v in rows:
+        p = sorted((-(round(float(np.dot(v, w)), topk.DECIMALS) + 0.0), j) for j, w in rows if j != i and len(w) == len(v))[:3]
+        want += [(i, r, j) for r, (_, j) in enumerate(p, 1)]
+    assert sorted((r.query_id, r.rank, r.match_id) for r in topk.top_k(df, 3).collect()) == want
 
 
 def test_buckets_are_pruned_and_nothing_is_lost():
@@ -108,9 +123,9 @@ def test_buckets_are_pruned_and_nothing_is_lost():
 
 def test_top_k_awkward(spark):
     s = "vec_id long, embedding array<float>, label int"
-    rows = [(1, [1.0, 0.0], None), (2, None, 1), (3, [], 1), (None, [1.0, 1.0], 1), (4, [1.0, None], 1), (5, [float("nan"), 1.0], 1), (6, [0.0, 0.0], 1), (7, [-1.0, 0.0], 1), (7, [-1.0, 0.0], 1)]
+    rows = [(1, [1.0, 0.0], None), (2, None, 1), (3, [], 1), (None, [1.0, 1.0], 1), (4, [1.0, None], 1), (5, [float("nan"), 1.0], 1), (6, [0.0, 0.0], 1), (7, [-1.0, 0.0], 1), (7, [-1.0, 0.0], 1), (8, [float("inf"), 1.0], 1), (9, [1.0], 1), (10, [2.0, 2.0, 2.0], 1), (11, [1.0, 0.0, 1.0], 1)]
     df = spark.createDataFrame(rows, s).withColumns({c: F.lit(1) for c in ("v", "b", "i", "j", "query", "product", "rank")})
-    assert sorted((r.query_id, r.rank, r.match_id, r.product) for r in topk.top_k(df, 5).collect()) == [(1, 1, 6, 0.0), (1, 2, 7, -1.0), (6, 1, 1, 0.0), (6, 2, 7, 0.0), (7, 1, 6, 0.0), (7, 2, 1, -1.0)]
+    assert sorted((r.query_id, r.rank, r.match_id, r.product) for r in topk.top_k(df, 5).collect()) == [(1, 1, 6, 0.0), (1, 2, 7, -1.0), (6, 1, 1, 0.0), (6, 2, 7, 0.0), (7, 1, 6, 0.0), (7, 2, 1, -1.0), (10, 1, 11, 4.0), (11, 1, 10, 4.0)]
     assert topk.top_k(df.limit(0)).collect() == []
     assert topk.top_k(df.where("vec_id = 1")).collect() == []
 
