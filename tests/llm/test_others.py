@@ -1,11 +1,16 @@
 """Conversations, vectors, packages, and the pipeline."""
 
 import gzip
+import io
 import itertools
+import json
 import random
+import zipfile
+import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from lexichron.llm import chat, topk, warczip
@@ -172,7 +177,7 @@ def test_zip64_directory_fields():
     end = struct.pack("<4sHHHHIIH", b"PK\5\6", 0, 0, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0)
     data = data[:at] + central + end64 + locator + end
     assert warczip.directory(reader(data), len(data)) == members
-    assert len(warczip.locate(reader(data), len(data))) >= 1
+    assert len(warczip.locate(reader(data), len(data))[0]) >= 1
 
 
 def test_packages_round_trip(spark, tmp_path):
@@ -205,5 +210,74 @@ def test_without_index_and_broken_packages(spark, tmp_path, monkeypatch):
 def test_records():
     http = b"HTTP/1.1 301 Moved\r\nContent-Encoding: gzip\r\n\r\n" + gzip.compress(b"body")
     head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: u\r\nContent-Length: {len(http)}\r\n\r\n".encode()
-    assert warczip.parse(head + http + b"\r\n\r\n") == ("u", None, None, 301, None, "body")
+    assert warczip.parse(head + http + b"\r\n\r\n") == ("u", None, None, 301, None, "body", None)
     assert warczip.parse(b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 0\r\n\r\n") is None
+
+
+def record(http, kind="response", length=True, uri="u"):
+    return f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Target-URI: {uri}\r\n{f'Content-Length: {len(http)}' if length else 'X: y'}\r\n\r\n".encode() + http + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize(
+    ("head", "body", "text"),
+    [
+        ("Transfer-Encoding: chunked", b"4\r\nbo\xc3\xa9\r\n3;x=y\r\ndy!\r\n0\r\n\r\n", "bo\xe9dy!"),
+        ("Transfer-Encoding: chunked", b"not in chunks", "not in chunks"),
+        ("Content-Encoding: deflate", zlib.compress(b"body"), "body"),
+        ("Content-Encoding: deflate", zlib.compress(b"body")[2:-4], "body"),
+        ("Content-Encoding: deflate, gzip", gzip.compress(zlib.compress(b"body")), "body"),
+        ("Content-Encoding: zstd", zstandard.ZstdCompressor().compress(b"body"), "body"),
+        ("Content-Type: text/html; charset=iso-8859-1", b"caf\xe9", "caf\xe9"),
+        ("Content-Type: text/html; charset='shift_jis'", "\u65e5\u672c".encode("shift_jis"), "\u65e5\u672c"),
+        ("Content-Type: text/html; charset=none-such", "\xe9".encode(), "\xe9"),
+        ("Content-Encoding: br", b"x", None),
+        ("Content-Encoding: gzip", gzip.compress(b"x" * 100)[:-20], None),
+        ("Transfer-Encoding: chunked", b"4\r\nbody\r\n9\r\ncut", None),
+    ],
+)
+def test_bodies_are_decoded(head, body, text):
+    r = warczip.parse(record(f"HTTP/1.1 200 OK\r\n{head}\r\n\r\n".encode() + body))
+    assert r[3] == 200 and r[5] == text and (r[6] is None) == (text is not None)
+
+
+def test_one_bad_record_costs_no_other(spark, tmp_path):
+    rng = random.Random(3)
+    pages = [(i, f"http://a/{i}", "".join(rng.choice("abcdefgh") for _ in range(3000))) for i in range(10)]
+    for name, index in (("index", True), ("none", False)):
+        for where, at in (("body", 600), ("start", 0)):
+            data = bytearray(warczip.package(pages, index=index))
+            begin, x = 0, -1
+            for _ in range(4):
+                begin = x = data.index(b"\x1f\x8b\x08\0", x + 1)
+            data[begin + at : begin + at + 30] = b"\0" * 30
+            (tmp_path / f"{name}-{where}.wacz").write_bytes(data)
+    by = {}
+    for r in warczip.read_packages(spark, f"file://{tmp_path}").collect():
+        by.setdefault(r.package.rsplit("/", 1)[1], []).append(r)
+    assert len(by) == 4
+    for name, rows in by.items():
+        assert sorted(r.url for r in rows if not r.error) == sorted(u for i, u, _ in pages if i != 3), name
+        assert sum(r.error is not None for r in rows) == 1, name
+
+
+def zipped(members):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+        for name, data in members:
+            z.writestr(zipfile.ZipInfo(name), data)
+    return out.getvalue()
+
+
+def test_what_an_index_leaves_out_is_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warczip, "SPAN_BYTES", 700)
+    one = lambda i, n=300: gzip.compress(record(b"HTTP/1.1 200 OK\r\n\r\n" + random.Random(i).randbytes(n).hex().encode(), uri=f"u{i}"))
+    parts = [one(i, 300 if i % 3 else 2000) for i in range(12)]
+    at = [sum(map(len, parts[:i])) for i in range(13)]
+    line = lambda i: f"k 2024 {json.dumps({'filename': 'a.warc.gz', 'offset': str(at[i]), 'length': len(parts[i])})}"
+    bad = ["broken {", 'k 2024 {"filename": "a.warc.gz", "offset": "x", "length": "1"}', 'k 2024 {"filename": "none.warc.gz", "offset": "0", "length": "1"}']
+    plain = b"".join(record(b"HTTP/1.1 200 OK\r\n\r\nWARC/1.0 is no mark here", uri=f"p{i}") for i in range(3)) + record(b"x", length=False) + record(b"HTTP/1.1 200 OK\r\n\r\n", uri="p3")
+    (tmp_path / "part.wacz").write_bytes(zipped([("archive/a.warc.gz", b"".join(parts)), ("archive/b.warc", plain), ("indexes/index.cdx", "\n".join([line(2), line(3), line(7), *bad]).encode()), ("archive/empty.warc.gz", b"")]))
+    rows = warczip.read_packages(spark, f"file://{tmp_path}").collect()
+    assert sorted(r.url for r in rows if r.url) == sorted([f"u{i}" for i in range(12)] + [f"p{i}" for i in range(4)])
+    assert sum(r.error is not None for r in rows) == 4
+    assert warczip.read_packages(spark, f"file://{tmp_path}").rdd.getNumPartitions() > 4
