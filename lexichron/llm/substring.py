@@ -1,9 +1,13 @@
 """Passages of at least LEAST words that occur in more than one document, by fixed-block anchors.
 
 Every document is cut into non-overlapping blocks of BLOCK words, the index. Every rolling window of BLOCK words of every document probes it.
-As LEAST >= 2 BLOCK - 1, any repeat holds a whole block of each document it is in, so a window that equals a block of
+As LEAST >= 2 BLOCK - 1, any repeat holds a whole block of each document it is in, so a block that equals a window of
 another document is an anchor. Around the anchors, windows of LEAST words are compared across documents; their union
-is the maximal exact repeats. Windows travel packed by hash bucket, about six bytes each, never as rows."""
+is the maximal exact repeats. Windows travel packed by hash bucket, about six bytes each, never as rows.
+
+What many documents share is settled where it is read: within a pack of texts a block that another document of the pack has is an
+anchor at once, and of all windows with one hash only two go on, from different documents, so that other packs learn of them. A
+passage in a third of all documents thus adds two entries a pack to its bucket, not one a document."""
 
 from __future__ import annotations
 
@@ -22,6 +26,8 @@ BLOCK = (LEAST + 1) // 2
 #: Text whose windows are packed together, and text of one group of documents in the second step.
 PACK_BYTES, GROUP_BYTES = 8 << 20, 16 << 20
 LEAST_GROUPS = 64
+#: Windows of one group of documents that are settled at once.
+SETTLE_ROWS = 1 << 20
 _BASE = 0xD6E8FEB86659FD93
 _INV = pow(_BASE, -1, 1 << 64)
 PACKED = "bucket int, ids binary, counts binary, gaps binary, extra binary, key binary"
@@ -122,6 +128,29 @@ def shared(doc: np.ndarray, key: np.ndarray, needed: np.ndarray | None = None) -
     return np.sort(maybe[order[np.repeat(ok, np.diff(np.append(first, len(k))))]])
 
 
+def summary(ids: np.ndarray, key: np.ndarray, asks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of entries of one pack: which ones ask and have a key that another document has too, and which ones have to be told to other packs: of a
+    key in several documents two from different ones, of one in a single document those that ask, or else any one."""
+    order = np.argsort(key, kind="stable")
+    k, d, a = key[order], ids[order], asks[order]
+    first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, int)
+    if not len(first):
+        return first, first
+    size = np.diff(np.append(first, len(k)))
+    low, high, any_asks = np.minimum.reduceat(d, first), np.maximum.reduceat(d, first), np.logical_or.reduceat(a, first)
+    many = low != high
+    group = np.repeat(np.arange(len(first)), size)
+    settled = a & many[group]
+    tell = a & ~many[group]
+    tell[first[~many & ~any_asks]] = True
+    # the first entry of a key, and the first that is from another document
+    tell[first[many]] = True
+    other = np.flatnonzero(many[group] & (d != d[first][group]))
+    if len(other):
+        tell[other[np.append(True, group[other][1:] != group[other][:-1])]] = True
+    return np.sort(order[settled]), np.sort(order[tell])
+
+
 def table_of(batch: pa.RecordBatch) -> pa.Table:
     return pa.Table.from_batches([batch])
 
@@ -150,22 +179,48 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
                     at += piece.num_rows
                 h, doc, pos = (np.concatenate(x) for x in zip(*parts))
                 if len(h):
-                    yield packed(n, spread(h, n), ids, doc, pos, h.astype(np.uint32))
+                    settled, tell = summary(ids[doc], h, pos % BLOCK == 0)
+                    yield packed(n, spread(h[tell], n), ids, doc[tell], pos[tell], h[tell].astype(np.uint32))
+                    if len(settled):
+                        yield grouped(ids[doc[settled]], pos[settled], np.zeros(len(settled), np.uint32), n)
+
+    def passed(t: pa.Table) -> pa.Table | None:
+        # buckets from n on hold what is settled, by document
+        if t.num_rows and t.column("bucket")[0].as_py() >= n:
+            return t.set_column(t.schema.get_field_index("bucket"), "bucket", pc.subtract(t.column("bucket"), pa.scalar(n, pa.int32())))
+        return None
 
     def anchors(t: pa.Table) -> pa.Table:
+        if (done := passed(t)) is not None:
+            return done
         doc, pos, key, _ = unpacked(t, np.uint32)
         at = shared(doc, key, pos % BLOCK == 0)
-        return grouped(doc[at], pos[at], np.zeros(len(at), np.uint32))
+        at = at[pos[at] % BLOCK == 0]
+        return table_of(grouped(doc[at], pos[at], np.zeros(len(at), np.uint32)))
 
-    def grouped(doc: np.ndarray, pos: np.ndarray, extra: np.ndarray) -> pa.Table:
+    def grouped(doc: np.ndarray, pos: np.ndarray, extra: np.ndarray, beyond: int = 0) -> pa.RecordBatch:
         order = np.lexsort((pos, doc))
         doc, pos, extra = doc[order], pos[order], extra[order]
         ids, d = np.unique(doc, return_inverse=True)
-        return table_of(packed(n, doc % n, ids, d, pos, np.zeros(len(d), np.uint8), extra))
+        return packed(2 * n, doc % n + beyond, ids, d, pos, np.zeros(len(d), np.uint8), extra)
 
     def extend(texts: pa.Table, hits: pa.Table) -> pa.Table:
         doc, pos, _, _ = unpacked(hits, np.uint8)
-        out = []
+        out: list[pa.RecordBatch] = []
+        found: list[tuple[np.ndarray, ...]] = []
+
+        def settle() -> None:
+            own, start, h, size = (np.concatenate(x) for x in zip(*found))
+            found.clear()
+            done, tell = summary(own, h, np.ones(len(h), bool))
+            if len(done):
+                out.append(grouped(own[done], start[done], size[done].astype(np.uint32), n))
+            # what is settled is told without its size
+            size[done] = 0
+            order = tell[np.lexsort((start[tell], own[tell]))]
+            ids, d = np.unique(own[order], return_inverse=True)
+            out.append(packed(n, spread(h[order], n), ids, d, start[order], h[order], size[order]))
+
         order = np.lexsort((pos, doc))
         doc, pos = doc[order], pos[order]
         keep = texts.filter(pc.is_in(texts.column("doc_id"), pa.array(np.unique(doc)))).combine_chunks()
@@ -192,13 +247,20 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
                 start = chars[w.s[i]] - chars[loff[d]]
                 end = chars[w.e[i + LEAST - 1]] - chars[loff[d]]
                 if len(i):
-                    out.append(packed(n, spread(h, n), ids, d, start, h, end - start))
+                    found.append((ids[d], start, h, end - start))
+                    if sum(len(x[1]) for x in found) > SETTLE_ROWS:
+                        settle()
+        if found:
+            settle()
         return pa.Table.from_batches(out, schema=packed(n, *(np.zeros(0, np.int64),) * 5).schema)
 
     def repeats(t: pa.Table) -> pa.Table:
+        if (done := passed(t)) is not None:
+            return done
         doc, pos, key, extra = unpacked(t, np.uint64)
         at = shared(doc, key)
-        return grouped(doc[at], pos[at], extra[at])
+        at = at[extra[at] > 0]
+        return table_of(grouped(doc[at], pos[at], extra[at]))
 
     def join(t: pa.Table) -> pa.Table:
         doc, start, _, size = unpacked(t, np.uint8)

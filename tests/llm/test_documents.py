@@ -477,7 +477,11 @@ def passages(texts):
     return out
 
 
-def test_passages_equal_brute_force(spark):
+@pytest.mark.parametrize("pack", [2_000, 1 << 23])
+def test_passages_equal_brute_force(spark, monkeypatch, pack):
+    # texts in many packs, settled in small parts, or all in one
+    monkeypatch.setattr(substring, "PACK_BYTES", pack)
+    monkeypatch.setattr(substring, "SETTLE_ROWS", pack // 10)
     rng = random.Random(17)
     shared = [words(rng, n) for n in (49, 50, 51, 75, 130)]
     rows = []
@@ -496,6 +500,15 @@ def test_passages_equal_brute_force(spark):
     assert got == want and len(want) > 50 and not any(w[0] == 60 for w in want)
 
 
+def test_what_many_share_is_told_twice_a_pack():
+    ids = np.array([5] * 4 + list(range(10, 110)) + [7, 8])
+    key = np.array([1, 1, 1, 2] + [3] * 100 + [4, 4], np.uint64)
+    asks = np.array([True, False, True, False] + [i % 25 == 0 for i in range(100)] + [False, False])
+    settled, tell = substring.summary(ids, key, asks)
+    # own repeats settle nothing; a key of many documents is told by two of them, however many there are
+    assert settled.tolist() == [4, 29, 54, 79] and tell.tolist() == [0, 2, 3, 4, 5, 104, 105]
+
+
 def test_passages_awkward(spark, awkward):
     assert substring.repeated_passages(awkward).collect() == []
     assert substring.repeated_passages(awkward.limit(0)).collect() == []
