@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..sources.shared import unused
+from .ranks import with_places
 
 COLUMNS = ("source", "year", "kwic", "text", "L-context", "keyword", "R-context")
 _HEAD = r"(?U)<B>(.*?)\s(\d{4})</B>"
@@ -15,7 +16,8 @@ _HEAD = r"(?U)<B>(.*?)\s(\d{4})</B>"
 def parse_kwic(lines: DataFrame, column: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
     """The seven columns of each line (and those to keep). A part without markup is null; of several hits in a line, the left
     context reaches to the last, the keyword is the first, the right context follows the first."""
-    c, body = F.col(column), F.col("_body")
+    name = unused(lines, "_body")
+    c, body = F.col(column), F.col(name)
     parts = {
         "source": T.extract(c, _HEAD, 1),
         "year": T.extract(c, _HEAD, 2),
@@ -26,14 +28,14 @@ def parse_kwic(lines: DataFrame, column: str = "content", keep: tuple[str, ...]
         "R-context": T.extract(body, "</U>(.*)"),
     }
     # the greedy left context begins with its line: saying so keeps the search linear
-    stripped = lines.withColumn("_body", T.trim(F.regexp_replace(c, r"(?d)<B>.*?</B>", "")))
+    stripped = lines.withColumn(name, T.trim(F.regexp_replace(c, r"(?d)<B>.*?</B>", "")))
     return stripped.select(*keep, *(parts[k].alias(k) for k in COLUMNS))
 
 
 def entry_ids(kwic: DataFrame, *order: str) -> DataFrame:
     """id = year_n, n being the line's place in the order; the number alone where the year is missing."""
-    n = F.row_number().over(Window.orderBy(*order))
-    return kwic.withColumn("id", F.concat_ws("_", F.coalesce("year", F.lit("")), n.cast("string")))
+    n = unused(kwic, "_n")
+    return with_places(kwic, n, *order).withColumn("id", F.concat_ws("_", F.coalesce("year", F.lit("")), F.col(n).cast("string"))).drop(n)
 
 
 def flatten_entries(entries: DataFrame) -> DataFrame:

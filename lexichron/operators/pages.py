@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..sources.shared import unused
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _ITEM = "pos int, title string, ps array<array<string>>, lines array<string>, text string"
@@ -138,8 +139,8 @@ def article_records(items: DataFrame, date: str | None = None) -> DataFrame:
 
 def first_of_key(rows: DataFrame, key: str = "key", *order: str) -> DataFrame:
     """One row for each key, the first in the order."""
-    by = Window.partitionBy(key).orderBy(*(order or ("page_no", "pos")))
-    return rows.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n")
+    by, n = Window.partitionBy(key).orderBy(*(order or ("page_no", "pos"))), unused(rows, "_n")
+    return rows.withColumn(n, F.row_number().over(by)).where(F.col(n) == 1).drop(n)
 
 
 def extract_articles(pages: DataFrame, max_pages: int = 100, date: str | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.stats import cosine
+from ..sources.shared import unused
 from .weights import term_counts, weighted
 
 DECIMALS = 9
@@ -24,11 +25,12 @@ def clamped(docs: DataFrame, n: int, group: str = "year") -> DataFrame:
 def sample_groups(docs: DataFrame, n: int, replicates: int, group: str = "year", doc: str = "doc_id", seed: str = "") -> DataFrame:
     """(rep, columns...): in every replicate n documents of each group without replacement, n at most the size of the smallest group. Which ones
     depends on a hash of replicate and document only, so the sample is the same on every run and cluster."""
+    size = clamped(docs, n, group).first()
     reps = docs.sparkSession.range(replicates).select(F.col("id").alias("rep"))
     order = Window.partitionBy("rep", group).orderBy(F.md5(F.concat(F.lit(seed), F.col("rep").cast("string"), F.lit("_"), F.col(doc).cast("string"))), doc)
-    numbered = docs.crossJoin(F.broadcast(reps)).withColumn("_k", F.row_number().over(order))
-    # one number, from one row
-    return numbered.crossJoin(F.broadcast(clamped(docs, n, group).withColumnRenamed("n", "_n"))).where("_k <= _n").drop("_k", "_n")
+    k = unused(docs, "_k")
+    # a number, not a column: each task then keeps no more of a group than the sample takes
+    return docs.crossJoin(F.broadcast(reps)).withColumn(k, F.row_number().over(order)).where(F.col(k) <= (size.n if size else 0)).drop(k)
 
 
 def count_vectors(tokens: DataFrame, group: str = "year") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.stats import normal_pdf, smooth_idf
+from .ranks import with_places
 
 ALL = "all"
 DECIMALS = 9
@@ -55,8 +56,5 @@ def tfidf(tokens: DataFrame, group: str, doc: str, norm: str = "l1", all_group:
     if all_group:
         counts = with_all(counts, group)
     scored = weighted(counts, group, doc, norm).groupBy(group, "term").agg(F.first("docf").alias("docf"), F.first("count").alias("count"), F.first("idf").alias("idf"), F.round(F.sum("weight"), DECIMALS).alias("tf-idf"))
-    # one exchange by group serves the moments and the rank; computing the scores twice to join them would cost far more
-    by = Window.partitionBy(group)
-    rank = F.row_number().over(by.orderBy(F.desc("tf-idf"), "term")).cast("long")
-    spread = scored.withColumns({"mu": F.avg("tf-idf").over(by), "sd": F.stddev_pop("tf-idf").over(by), "rank": rank})
+    spread = with_places(scored, "rank", F.desc("tf-idf"), "term", group=group, moments="tf-idf")
     return spread.select(group, "term", "docf", "count", F.round("idf", DECIMALS).alias("idf"), "tf-idf", F.round(normal_pdf(F.col("tf-idf"), F.col("mu"), F.col("sd")), DENSITY_DECIMALS).alias("normdis"), "rank")

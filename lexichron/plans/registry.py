@@ -5,8 +5,6 @@ middle word as the keyword, lines in the shape of journal records built from its
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +15,7 @@ from ..functions.stats import smooth_idf
 from ..operators import kwic, pages, similarity, topics, weights
 from ..operators.tokens import Tokenizer, explode_tokens, without_stop_words
 from ..sources import readers, sinks
+from ..sources.shared import scratch, table
 from ..streaming.ingest import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,20 +35,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share; a temporary one only where none is set and the master is local."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="lexichron-")
-    return f"{at}/{uuid.uuid4().hex}"
-
-
 # Keyword in context
 
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexichron.operators import pages, similarity, topics, weights
+from lexichron.operators.ranks import with_places
 from lexichron.plans import registry
 from lexichron.sources import readers, sinks
 from lexichron.streaming.ingest import ingest
@@ -91,9 +92,36 @@ def test_topics(spark):
     assert topics.topic_columns(m.documents(d), 2).columns[-2:] == ["topic 0", "topic 1"]
     s = topics.topic_similarity(similarity.sample_groups(d, 5, 2), k=2, passes=3)
     assert {round(r.sim, 6) for r in s.where("year_a = year_b").collect()} == {1.0}
-    assert topics.fit_topics(d.where("doc_id = 20")) is None
-    kw = d.select("year", "tokens").withColumn("keyword", F.lit("k"))
-    assert [(k, y) for k, y, _ in topics.by_keyword(kw, k=2, passes=1)] == [("k", "all"), ("k", "a"), ("k", "b")]
+    none = topics.fit_topics(d.where("doc_id = 20"), k=4)
+    assert none.terms().collect() == [] and none.documents(d).first().topics == [0.25] * 4
+    kw = d.select("doc_id", "year", "tokens").withColumn("keyword", F.lit("k 1/x")).unionAll(d.limit(2).selectExpr("doc_id", "cast(null as string)", "tokens", "'j'")).unionAll(d.limit(1).selectExpr("doc_id", "year", "tokens", "null"))
+    got = [(k, y, own.count(), m.terms().count()) for k, y, own, m in topics.by_keyword(kw, k=2, passes=1)]
+    assert got == [("j", "all", 2, 12), ("k 1/x", "all", 21, 12), ("k 1/x", "a", 11, 6), ("k 1/x", "b", 10, 6)]
+    t = topics.topic_table(d, topics.fit_topics(d, k=2, passes=5, seed=1), "doc_id", columns=("year",))
+    rows = sorted(t.collect())
+    assert t.columns == ["no.", "year", "topic 0", "topic 1"] and [r["no."] for r in rows] == list(range(21)) and rows[20]["topic 0"] == "0.5000"
+
+
+def test_topics_without_documents(spark):
+    d = spark.createDataFrame([], "rep long, year string, tokens array<string>")
+    m = topics.fit_topics(d, k=3)
+    assert m.terms().collect() == m.documents(d).collect() == topics.topic_similarity(d).collect() == []
+    only_null = spark.createDataFrame([(0, "a", [None])], d.schema)
+    assert topics.fit_topics(only_null, k=3).documents(only_null).first().topics == pytest.approx([1 / 3] * 3)
+
+
+@pytest.mark.parametrize("n", [0, 1, 500])
+def test_places(spark, n):
+    rng = np.random.default_rng(n)
+    rows = [(int(g) if g < 4 else None, int(x), i) for i, (g, x) in enumerate(zip(rng.choice(5, n, p=[0.6, 0.1, 0.1, 0.1, 0.1]), rng.integers(0, 50, n)))]
+    d = spark.createDataFrame(rows, "g int, x int, _at int")
+    got = {r["_at"]: r for r in with_places(d, "place", F.desc("x"), "_at", group="g", moments="x").collect()}
+    assert len(got) == n
+    for g in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))
+        assert [got[r[2]].place for r in own] == list(range(1, len(own) + 1))
+        assert got[own[0][2]].mu == pytest.approx(np.mean([r[1] for r in own])) and got[own[0][2]].sd == pytest.approx(np.std([r[1] for r in own]))
+    assert [r.place for r in sorted(with_places(d, "place", "x", "_at").collect(), key=lambda r: (r.x, r["_at"]))] == list(range(1, n + 1))
 
 
 def test_topics_keep_every_term(spark):
