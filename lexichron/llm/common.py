@@ -1,49 +1,31 @@
-"""What the operators share: cutting lineage, connected components, reading tables."""
+"""What the operators share: connected components, and from the rest of the library cutting lineage and reading tables."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or for a local master, where it is unset, a new temporary one."""
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not at:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="lexichron-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(at)
-    return at
 
+from ..sources.shared import cut, shared_dir, table
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows from reliable storage; lost executors cost nothing that came before."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+__all__ = ["components", "cut", "shared_dir", "table"]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def _with_least(edges: DataFrame) -> DataFrame:
+    """(u, v, m): m is the least v of u. The minimum is taken before the exchange; of the join, adaptive execution splits keys of many rows."""
+    return edges.join(edges.groupBy("u").agg(F.min("v").alias("m")), "u")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, group): the connected components of edges (a, b), group being the least node of each.
 
     Alternates large-star and small-star (Kiveris et al. 2014) until nothing changes; every round is linear in the edges
-    and no node's neighbours are ever held together in memory."""
+    and no node's neighbours are ever held together."""
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    by = Window.partitionBy("u")
     last = None
     while True:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = both.select("u", "v", F.least("u", F.min("v").over(by)).alias("m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.where("u <> v").distinct().select("u", "v", F.min("v").over(by).alias("m"))
+        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        low = _with_least(cut(large.where("u <> v").distinct()))
         small = low.select(F.col("v").alias("a"), F.col("m").alias("b")).unionAll(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
         e = cut(small.where("a <> b").distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

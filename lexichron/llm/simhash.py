@@ -14,14 +14,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import vec
 from .common import components, cut
 
 RADIUS, TOTAL = 16, 48
 #: Rows of a block; a pair of blocks is one unit of work for a task.
-BLOCK_ROWS, LEAST_BLOCKS = 1 << 18, 12
+BLOCK_ROWS, LEAST_BLOCKS = 1 << 19, 12
 #: Rows and columns of a tile: its exclusive-ors fit in a core's cache.
 TILE, WIDE = 128, 1024
 WORDS = ("h0", "h1", "h2", "h3")
@@ -33,12 +32,12 @@ def fingerprint_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
     h = vec.span_hash(vec.prefix(b), s, e)
     size = e - s
     doc = np.repeat(np.arange(len(n)), n)
-    # long words tell documents apart; words of up to three bytes count only where a text has nothing else
-    weight = np.clip(size - 3, 0, 8).astype(np.uint8)
-    none = np.bincount(doc, weights=weight, minlength=len(n)) == 0
-    weight[none[doc]] = 1
-    keep = weight > 0
-    h, weight, doc = h[keep], weight[keep], doc[keep]
+    # long words tell documents apart; those of up to three bytes are in all texts, so each counts together with the word after it
+    weight = np.clip(size - 3, 1, 8).astype(np.uint8)
+    follow = np.zeros(len(h), np.uint64)
+    if len(h):
+        follow[:-1] = np.where(doc[1:] == doc[:-1], h[1:], np.uint64(0))
+    h = np.where(size <= 3, vec.mix(h + follow * np.uint64(3), 7), h)
     have, first = np.unique(doc, return_index=True)
     cols = [batch.column(0).take(pa.array(have))]
     if len(have):
@@ -158,10 +157,12 @@ def edges(prints: DataFrame, radius: int = RADIUS, total: int = TOTAL) -> DataFr
         lo, hi = k * n / blocks, (k + 1) * n / blocks
         own = [p for p in range(65) if hist.get(p) and before[p] <= hi and before[p] + hist[p] >= lo]
         ranges.append((min(own), max(own)))
-    partner = [[j for j in range(blocks) if max(ranges[k][0], ranges[j][0]) - min(ranges[k][1], ranges[j][1]) <= radius] for k in range(blocks)]
-    partners = F.array(*[F.array(*map(F.lit, x)) for x in partner])
-    laid = prints.withColumn("k", F.least(place.cast("int"), F.lit(blocks - 1)))
-    pairs = laid.withColumn("j", F.explode(F.element_at(partners, F.col("k") + 1))).select((F.least("k", "j") * blocks + F.greatest("k", "j")).alias("pair"), "k", "doc_id", *WORDS)
+    # bit counts rise from block to block, so a block's partners are neighbours; one row a block
+    ends = [max(j for j in range(k, blocks) if ranges[j][0] - ranges[k][1] <= radius) for k in range(blocks)]
+    begins = [min(i for i in range(k + 1) if ends[i] >= k) for k in range(blocks)]
+    partners = F.broadcast(prints.sparkSession.createDataFrame([(k, begins[k], ends[k]) for k in range(blocks)], "k int, begin int, end int"))
+    laid = prints.withColumn("k", F.least(place.cast("int"), F.lit(blocks - 1))).join(partners, "k")
+    pairs = laid.withColumn("j", F.explode(F.sequence("begin", "end"))).select((F.least("k", "j").cast("long") * blocks + F.greatest("k", "j")).alias("pair"), "k", "doc_id", *WORDS)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = divmod(int(key[0]), blocks)
@@ -177,16 +178,27 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, total: int = TOTAL) -
     """(doc_id, kept_id) for every document that is a near copy, directly or through others, of one with a lower id.
 
     kept_id is the least doc_id of the group. Texts that are null, empty or without a word match nothing; rows with a null
-    doc_id are ignored; repeated rows of one doc_id are one document (its lowest fingerprint counts, nothing is dropped
-    for a repetition of itself); an empty table gives an empty result; other columns of docs are not read."""
-    prints = cut(fingerprints(docs))
-    same = Window.partitionBy(*WORDS)
-    reps = cut(prints.withColumn("rep", F.min("doc_id").over(same)).select("doc_id", "rep", *WORDS))
-    groups = components(edges(reps.where("doc_id = rep").dropDuplicates(["doc_id"]).select("doc_id", *WORDS), radius, total))
-    found = reps.select("doc_id", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("group", "rep").alias("kept_id"))
+    doc_id are ignored; rows of one doc_id are one document, which matches with any of their texts and is no copy of itself;
+    an empty table gives an empty result; other columns of docs are not read.
+
+    Equal fingerprints are one to the comparison, however many documents have them: they are counted before they are exchanged, and
+    only the join that gives them back their documents has keys of many rows, which adaptive execution splits."""
+    prints = cut(fingerprints(docs).distinct())
+    least = cut(prints.groupBy(*WORDS).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    groups = components(edges(least.select(F.col("rep").alias("doc_id"), *WORDS), radius, total))
+    same = prints.join(least.where("n > 1").drop("n"), list(WORDS)).select("doc_id", "rep")
+    # a document of several texts may be least of several fingerprints, and then ties these together
+    links = groups.select(F.col("node").alias("doc_id"), F.col("group").alias("rep"))
+    several = prints.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if several.isEmpty():
+        found = same.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("group", "rep").alias("kept_id"))
+        found = found.unionAll(links.withColumnRenamed("rep", "kept_id"))
+    else:
+        found = components(same.unionAll(links).toDF("a", "b")).toDF("doc_id", "kept_id")
     return found.where("doc_id <> kept_id").groupBy("doc_id").agg(F.min("kept_id").alias("kept_id"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents without those that near_duplicates lists: one of each group stays, and all without a group."""
+    """The rows of docs, with all their columns, but for the documents that near_duplicates lists: one document of each group stays, and all without a
+    group. Rows with a null doc_id or text stay; repeated rows of one doc_id stay or go together; an empty table gives an empty result."""
     return docs.join(near_duplicates(docs).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
