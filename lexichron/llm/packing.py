@@ -16,10 +16,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import cut
+
 CAPACITY = 4096
 #: Lengths above this share of the capacity are large; so many groups of equal cardinality.
 LARGE, GROUPS = 1 / 8, 24
 BYTES_PER_TOKEN = 4
+#: Steps of column generation in a row without any gain, after which it ends.
+CIRCLES = 1000
+#: Pieces of one length that are numbered together, and equal rows that are written out together.
+SLOT_ROWS, COPIES = 1 << 20, 1 << 16
 
 
 def estimated_tokens(text: str | Column = "text") -> Column:
@@ -55,7 +61,9 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
     basis = np.diag([float(capacity // s) for s in sizes])
     d = np.array(demand, float)
     x = np.linalg.solve(basis, d)
-    for _ in range(2000):
+    best, since = x.sum(), 0
+    # it ends where no column improves the bound; degenerate steps that change nothing could go in circles, and after CIRCLES of them in a row the columns so far serve
+    while since < CIRCLES:
         y = np.linalg.solve(basis.T, np.ones(n))
         value, a = knapsack(sizes, y, capacity)
         if value <= 1 + 1e-7:
@@ -64,6 +72,7 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
         ratio = np.where(u > 1e-10, x / np.where(u > 1e-10, u, 1), np.inf)
         basis[:, int(ratio.argmin())] = a
         x = np.linalg.solve(basis, d)
+        best, since = (x.sum(), 0) if x.sum() < best - 1e-9 else (best, since + 1)
     out = [(basis[:, i].astype(int), int(x[i] + 1e-9)) for i in range(n) if int(x[i] + 1e-9) > 0]
     left = d.astype(int) - sum((a * m for a, m in out), np.zeros(n, int))
     while (left > 0).any():
@@ -163,17 +172,34 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, length: Column | None = None
 
     `length` is a document's size in tokens, by default estimated_tokens(). A document longer than the capacity is cut into pieces that each fill
     a bin and a rest; start is a piece's first token in its document, position in its bin. Null and empty texts take no room
-    and get no row; a repeated row is laid twice; of equal lengths the lower doc_id (null first) and piece come first; an
-    empty table gives an empty result; other columns are not read."""
+    and get no row; a repeated row is laid twice; pieces of one length are taken in the order of their slot (by a hash; one for SLOT_ROWS pieces), then of
+    doc_id (null first) and piece; an empty table gives an empty result; other columns are not read.
+
+    Equal rows are counted before the exchange and written out at the end, and the many pieces of one length (all full ones, say) are numbered
+    slot by slot, so no task has a whole length to sort. One row a slot comes to the driver, at most a row for SLOT_ROWS pieces and one a length."""
+    spark = docs.sparkSession
     size = (estimated_tokens() if length is None else length).cast("long")
     sized = docs.select("doc_id", size.alias("size")).where("size > 0")
-    cut = sized.select("doc_id", "size", F.posexplode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / capacity))).alias("piece", "n"))
-    pieces = cut.select("doc_id", F.col("piece").cast("long").alias("piece"), (F.col("n") * capacity).alias("start"), F.least(F.lit(capacity).cast("long"), F.col("size") - F.col("n") * capacity).alias("length"))
-    hist = {int(r[0]): int(r[1]) for r in pieces.groupBy("length").count().collect()}
-    table, _ = plan(hist, capacity)
-    ranked = pieces.withColumn("rank", F.row_number().over(Window.partitionBy("length").orderBy("doc_id", "piece")) - 1)
+    whole = sized.select("doc_id", "size", F.posexplode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / capacity))).alias("piece", "n"))
+    pieces = whole.select("doc_id", F.col("piece").cast("long").alias("piece"), (F.col("n") * capacity).alias("start"), F.least(F.lit(capacity).cast("long"), F.col("size") - F.col("n") * capacity).alias("length"))
+    pieces = cut(pieces.groupBy("doc_id", "piece", "start", "length").agg(F.count("*").alias("n")))
+    lengths = pieces.groupBy("length").agg(F.sum("n").alias("total"), F.max("n").alias("most")).collect()
+    table, _ = plan({int(r.length): int(r.total) for r in lengths}, capacity)
+    slots = F.broadcast(spark.createDataFrame([(int(r.length), -(-int(r.total) // SLOT_ROWS)) for r in lengths], "length long, slots long"))
+    slotted = pieces.join(slots, "length").withColumn("slot", F.pmod(F.xxhash64("doc_id", "piece"), F.col("slots")))
+    base, at = [], {}
+    for r in sorted(slotted.groupBy("length", "slot").agg(F.sum("n").alias("n")).collect(), key=lambda r: (r.length, r.slot)):
+        base.append((r.length, r.slot, at.get(r.length, 0)))
+        at[r.length] = at.get(r.length, 0) + r.n
+    before = F.sum("n").over(Window.partitionBy("length", "slot").orderBy("doc_id", "piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    first = slotted.withColumn("before", before).join(F.broadcast(spark.createDataFrame(base, "length long, slot long, base long")), ["length", "slot"])
+    copies = first.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long"))))
+    if max((r.most for r in lengths), default=0) > COPIES:
+        copies = copies.repartition("doc_id", "piece", "c")
+    copies = copies.withColumn("c", F.explode(F.sequence("c", F.least(F.col("c") + COPIES, F.col("n")) - 1)))
+    ranked = copies.select("doc_id", "piece", "start", "length", (F.col("base") + F.col("before") + F.col("c")).alias("rank"))
     # ranges in order of (length, first rank); lengths are at most the capacity, so one key tells both
-    span = max(hist.values(), default=0) + 1
+    span = max((r.total for r in lengths), default=0) + 1
     keys = table[:, 0] * span + table[:, 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
