@@ -6,21 +6,30 @@ verified by banded alignment. Texts are compared as lower-cased letters and digi
 
 from __future__ import annotations
 
+import pickle
+import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
+from .common import shared_dir
 
 Q, BUDGET = 11, 0.06
-#: Items of fewer characters are too short to say anything and match nothing.
+#: Items of fewer characters are looked for without any edit, those of fewer than Q only as the whole of a text.
 SHORTEST = 40
-#: Characters of benchmark handled at once (and sent to each task); a larger benchmark takes further passes.
-PASS_CHARS = 32_000_000
+#: Items of more characters are looked for in parts, equally long and no longer than this.
+LONGEST = 4096
+#: Characters of benchmark that a task holds at once; a larger benchmark is looked for pass by pass.
+PASS_CHARS = 2_000_000
+#: Cells of the alignments done together.
+CELLS = 1 << 21
 #: Bytes of text handled at once: the arrays of one step stay in a core's cache.
 SLICE_BYTES = 256 << 10
 _A = tuple(np.uint32(x | 1) for x in (0x9E3779B9, 0xC2B2AE3D, 0x165667B1, 0x27D4EB2F))
@@ -73,24 +82,44 @@ class Items:
         c, off, _ = normal(pa.array(texts, pa.string()))
         # without a space at the end
         size = np.diff(off) - np.array([o1 > o0 and c[o1 - 1] == 32 for o0, o1 in zip(off[:-1], off[1:])], int)
-        keep = [i for i in range(len(ids)) if size[i] >= SHORTEST]
-        self.ids = np.array([ids[i] for i in keep], np.int64)
-        self.chars = [c[off[i] : off[i] + size[i]] for i in keep]
-        self.size = np.array([size[i] for i in keep], np.int64)
-        self.edits = (self.size * BUDGET).astype(np.int64)
+        #: Items too short for a q-gram, by their characters.
+        self.whole: dict[bytes, list[int]] = {}
+        own: list[int] = []
+        self.chars: list[np.ndarray] = []
+        for i, (at, n) in enumerate(zip(off[:-1].tolist(), size.tolist())):
+            if 0 < n < Q:
+                self.whole.setdefault(c[at : at + n].tobytes(), []).append(ids[i])
+            elif n >= Q:
+                for part in np.array_split(c[at : at + n], -(-n // LONGEST)):
+                    own.append(ids[i])
+                    self.chars.append(part)
+        self.ids = np.array(own, np.int64)
+        self.size = np.array([len(x) for x in self.chars], np.int64)
+        self.edits = np.where(self.size < SHORTEST, 0, (self.size * BUDGET).astype(np.int64))
         self.least = np.maximum(1, self.size - Q + 1 - self.edits * Q)
         grams = [qgrams(x) for x in self.chars]
         h = np.concatenate(grams) if grams else np.zeros(0, np.uint32)
-        owner = np.repeat(np.arange(len(keep)), [len(g) for g in grams])
-        place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
+        owner = np.repeat(np.arange(len(grams), dtype=np.int32), [len(g) for g in grams])
+        place = np.concatenate([np.arange(len(g), dtype=np.int32) for g in grams]) if grams else np.zeros(0, np.int32)
         order = np.argsort(h, kind="stable")
-        self.keys, self.first = np.unique(h[order], return_index=True)
-        self.first = np.append(self.first, len(h))
+        self.keys, first = np.unique(h[order], return_index=True)
+        self.first = np.append(first, len(h)).astype(np.int32)
         self.owner, self.place = owner[order], place[order]
-        bits = min(28, max(16, int(np.log2(len(self.keys) + 1)) + 5))
+        self._tabulate()
+
+    def _tabulate(self) -> None:
+        bits = min(28, max(16, int(np.log2(len(self.keys) + 1)) + 4))
         self.shift, self.table = np.uint32(32 - bits), np.zeros(1 << bits, bool)
         self.table[self.keys >> self.shift] = True
 
+    def __getstate__(self) -> dict:
+        # the bit table is larger than what it is made from
+        return {k: v for k, v in self.__dict__.items() if k != "table"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._tabulate()
+
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in h that are q-grams of the items, and which of the keys."""
         at = np.flatnonzero(self.table[h >> self.shift])
@@ -111,8 +140,9 @@ def candidates(c: np.ndarray, off: np.ndarray, items: Items) -> tuple[np.ndarray
     ok = at + Q <= off[text + 1]
     at, key, text = at[ok], key[ok], text[ok]
     n = items.first[key + 1] - items.first[key]
+    n = n.astype(np.int64)
     i = np.repeat(items.first[key], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    at, text, item = np.repeat(at, n), np.repeat(text, n), items.owner[i]
+    at, text, item = np.repeat(at, n), np.repeat(text, n), items.owner[i].astype(np.int64)
     diagonal = at - items.place[i]
     # bands of 2 (k + 1) diagonals, half of each shared with the next: any k + 1 neighbours lie within one
     width = items.edits[item] + 1
@@ -173,15 +203,20 @@ def align(items: Items, found: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.
 
 def scan(texts: pa.Array, items: Items) -> list[tuple[int, int, int, int, int]]:
     """(text, item_id, start, end, edits), in characters of the text; of overlapping occurrences of one item the best."""
-    found = []
+    found, hits = [], set()
     for part in vec.slices(pa.RecordBatch.from_arrays([texts, pa.array(np.arange(len(texts)))], names=["text", "row"]), "text", SLICE_BYTES):
         c, off, place = normal(part.column(0))
         text, item, low, high = candidates(c, off, items)
-        if not len(text):
+        short = np.flatnonzero((np.diff(off) > 0) & (np.diff(off) <= Q)) if items.whole else text[:0]
+        if not len(text) and not len(short):
             continue
         b, boff = vec.raw(part.column(0))
         chars = vec.char_starts(b)[boff]
         row = part.column(1).to_numpy()
+        for t in short.tolist():
+            own = c[off[t] : off[t + 1] - (c[off[t + 1] - 1] == 32)]
+            for i in items.whole.get(own.tobytes(), []):
+                hits.add((int(row[t]), i, 0, int(place[off[t]] - chars[t]), int(place[off[t] + len(own) - 1] - chars[t]) + 1))
         # an occurrence may stray by k diagonals from the ones it shares q-grams on
         low, high = low - items.edits[item], high + items.edits[item]
         for t, i, x, y in zip(text.tolist(), item.tolist(), low.tolist(), high.tolist()):
@@ -190,65 +225,92 @@ def scan(texts: pa.Array, items: Items) -> list[tuple[int, int, int, int, int]]:
             pad = x0 - x
             found.append((int(row[t]), i, np.concatenate([np.zeros(pad, np.uint32), c[x0:y0], np.zeros(y - y0, np.uint32)]), place[x0:y0] - chars[t], int(off[t]) - x, int(off[t + 1]) - x, pad))
     found.sort(key=lambda f: int(items.size[f[1]]))
-    hits = set()
-    for j in range(0, len(found), 256):
-        group = found[j : j + 256]
+    at = 0
+    while at < len(found):
+        # as many as fit in CELLS, by the size of the last and longest
+        n = 1
+        while at + n < min(len(found), at + 256) and (n + 1) * (len(found[at + n][2]) + 1) <= CELLS:
+            n += 1
+        group, at = found[at : at + n], at + n
         for f, e, s, t in zip(group, *map(np.ndarray.tolist, align(items, group))):
             if e <= items.edits[f[1]]:
-                hits.add((f[0], f[1], e, int(f[3][s - f[6]]), int(f[3][t - 1 - f[6]]) + 1))
+                hits.add((f[0], int(items.ids[f[1]]), e, int(f[3][s - f[6]]), int(f[3][t - 1 - f[6]]) + 1))
     out, taken = [], {}
     for t, i, edits, start, end in sorted(hits):
         if any(start < e and s < end for s, e in taken.get((t, i), [])):
             continue
         taken.setdefault((t, i), []).append((start, end))
-        out.append((t, int(items.ids[i]), start, end, edits))
+        out.append((t, i, start, end, edits))
     return sorted(out)
 
 
-def passes(benchmark: DataFrame) -> list[Items]:
-    """The benchmark in parts of at most about PASS_CHARS characters."""
+def prepared(benchmark: DataFrame) -> list[str]:
+    """Files in the shared folder, each with the Items of about PASS_CHARS characters of the benchmark; one part at a time is on the driver."""
     b = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
     n = -(-int(b.agg(F.sum(F.length("text"))).first()[0] or 0) // PASS_CHARS)
+    folder = f"{shared_dir(benchmark.sparkSession)}/benchmark-{uuid.uuid4().hex}"
+    system, at = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", folder))
     out = []
     for k in range(n):
-        part = b.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).orderBy("item_id", "text").distinct().collect()
-        out.append(Items([r.item_id for r in part], [r.text for r in part]))
+        part = b.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).distinct().orderBy("item_id", "text").collect()
+        if part:
+            system.create_dir(at, recursive=True)
+            with system.open_output_stream(f"{at}/{k}") as f:
+                f.write(pickle.dumps(Items([r.item_id for r in part], [r.text for r in part])))
+            out.append(f"{folder}/{k}")
     return out
 
 
+_loaded: dict[str, Items] = {}
+
+
+def loaded(path: str) -> Items:
+    """What prepared() wrote; a worker keeps the last one."""
+    if path not in _loaded:
+        system, at = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+        with system.open_input_file(at) as f:
+            data = f.read()
+        _loaded.clear()
+        _loaded[path] = pickle.loads(data)
+    return _loaded[path]
+
+
+def scan_all(texts: pa.Array, paths: list[str]) -> list[tuple[int, int, int, int, int]]:
+    """scan() of every pass."""
+    return sorted(h for p in paths for h in scan(texts, loaded(p)))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start_char, end_char, edits) of every occurrence of a benchmark item in a document with at most BUDGET
     edits a character, counted on the normalised texts.
 
-    Of overlapping occurrences of one item the one with fewest edits, then the first, is given. Whole texts are searched. Null and empty texts
-    and items of fewer than SHORTEST normalised characters match nothing; a null doc_id is kept as null; repeated rows are
-    searched each; empty tables give an empty result; other columns are not read."""
-    out = None
+    Of overlapping occurrences of one item the one with fewest edits, then the first, is given. Whole texts are searched for whole items: a part of an
+    item, or one with more edits, is no occurrence. Items of fewer than SHORTEST normalised characters have to occur without any edit, those of fewer than Q only match a
+    text that is nothing else; of an item of more than LONGEST each of its equal parts counts as the item. Null and empty texts and items match nothing; a null
+    doc_id is kept as null; repeated rows are searched each, repeated items once; empty tables give an empty result; other columns are not read."""
     schema = "doc_id long, item_id long, start_char long, end_char long, edits long"
-    for items in passes(benchmark):
+    paths = prepared(benchmark)
 
-        def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in vec.slices(batch, "text", 16 << 20):
-                    hits = scan(part.column(1), items)
-                    cols = list(zip(*hits)) if hits else [()] * 5
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(x, pa.int64()) for x in cols[1:])], names=["doc_id", "item_id", "start_char", "end_char", "edits"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in vec.slices(batch, "text", 16 << 20):
+                hits = scan_all(part.column(1), paths)
+                cols = list(zip(*hits)) if hits else [()] * 5
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(x, pa.int64()) for x in cols[1:])], names=["doc_id", "item_id", "start_char", "end_char", "edits"])
 
-        df = docs.select("doc_id", "text").mapInArrow(run, schema)
-        out = df if out is None else out.unionAll(df)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, in which no benchmark item occurs; nothing is shuffled."""
-    for items in passes(benchmark):
-
-        def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in vec.slices(batch, "text", 16 << 20):
-                    clean = np.ones(part.num_rows, bool)
-                    clean[[h[0] for h in scan(part.column(part.schema.get_field_index("text")), items)]] = False
-                    yield part.filter(pa.array(clean))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    """The rows of docs, with all their columns, in which no benchmark item occurs (as contaminated() has it); nothing is shuffled. Null and empty
+    texts stay, whatever the other columns hold; repeated rows stay or go together; without items all rows stay."""
+    paths = prepared(benchmark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in vec.slices(batch, "text", 16 << 20):
+                clean = np.ones(part.num_rows, bool)
+                clean[[h[0] for h in scan_all(part.column(part.schema.get_field_index("text")), paths)]] = False
+                yield part.filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)
