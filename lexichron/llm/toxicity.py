@@ -19,12 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
+from .common import cut
 
-#: At most so many labelled documents are used for fitting (taken by a hash of doc_id).
+#: At most so many labelled documents are used for fitting (those whose doc_id has the least hash).
 LABELLED_ROWS = 50_000
 #: A feature is used if in so many toxic documents, so many times likelier there than in others, and surely telling to this degree: what is toxic
 #: by chance only would add up over a long text.
-LEAST_DOCS, LEAST_RATIO, LEAST_SURE, MOST_FEATURES = 4, 4.0, 0.4, 20_000
+LEAST_DOCS, LEAST_RATIO, LEAST_SURE = 4, 4.0, 0.4
 THRESHOLD = 0.5
 #: A feature can decide alone only if it is at least so sure.
 ALONE = 0.9
@@ -245,12 +246,14 @@ def found(texts: pa.Array, lm: np.ndarray, lookup: vec.Lookup | None, memo: dict
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Model:
-    """Counts the language model over all of docs; fits the weights to at most `rows` labelled documents (all, if there are no more)."""
+    """Counts the language model over all of docs; fits the weights to at most `rows` labelled documents (all, if there are no more).
+
+    Labels with a null doc_id or toxic are ignored, of several for one doc_id the greatest counts; of several rows of a labelled doc_id the first text
+    does. Without a toxic example nothing is toxic. What comes to the driver is bounded by the sample and by the alphabet, never by docs. The sample is
+    written once and read for each step, docs are read once for the language model and once for the sample."""
     lm = language_model(docs)
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n = known.count()
-    if n > rows:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * rows / n))
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # the labels are bounded, so each task gets them all and the texts stay where they are
     pairs = sorted((r.doc_id, int(r.toxic)) for r in known.collect())
     ids, toxic = np.array([x for x, _ in pairs], np.int64), np.array([x for _, x in pairs], np.int32)
@@ -264,6 +267,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Model:
             yield pa.RecordBatch.from_arrays([*chosen.columns, pa.array(toxic[j[at]] if len(ids) else toxic)], names=["doc_id", "text", "toxic"])
 
     sample = docs.select("doc_id", "text").where("text is not null and doc_id is not null").mapInArrow(pick, "doc_id long, text string, toxic int")
+    # however often a labelled document is repeated
+    sample = cut(sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")))
     total = sample.agg(F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("pos"), F.count("*").alias("n")).first()
     if not total.pos:
         return Model(lm, np.zeros(0, np.uint64), np.zeros(0), -10.0, np.zeros(0))
@@ -291,7 +296,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Model:
     sure = {f: float(lower_bound(np.array([n]), np.array([neg.get(f, 0)]))[0]) for f, n in pos.items()}
     least = max(LEAST_SURE, min(0.85, 1.5 * total.pos / total.n))
     ratio = {f: (n / total.pos) / ((neg.get(f, 0) + 0.5) / (total.n - total.pos + 1)) for f, n in pos.items()}
-    best = sorted((f for f in pos if ratio[f] >= LEAST_RATIO and sure[f] >= least), key=lambda f: (-pos[f], f))[:MOST_FEATURES]
+    best = sorted((f for f in pos if ratio[f] >= LEAST_RATIO and sure[f] >= least), key=lambda f: (-pos[f], f))
     keys = np.array(best, np.int64).view(np.uint64)
     lookup = vec.Lookup(keys, 16)
 
