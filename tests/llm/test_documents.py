@@ -81,6 +81,37 @@ def test_near_duplicates(spark):
     assert sorted(r.doc_id for r in kept.collect()) == list(range(30)) and kept.columns[-1] == CLASHING[-1]
 
 
+def test_short_words_count(spark):
+    texts = ["the question that was asked is whether to be", "the question that was asked is whether is not a no", "it is so or is it no", "to be or not to be", "a b", "a c", "a b c", "a b"]
+    prints = [tuple(r)[1:] for r in simhash.fingerprints(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert len(set(prints)) == 7 and prints[4] == prints[7]
+    assert [tuple(r) for r in simhash.near_duplicates(frame(spark, texts[2:])).collect()] == [(5, 2)]
+
+
+def test_documents_of_several_texts(spark):
+    rng = random.Random(8)
+    a, b, c, d = (" ".join(words(rng, 60)) for _ in range(4))
+    got = simhash.near_duplicates(frame(spark, [a, b, b, a, c, c, c, d], ids=[5, 5, 9, 1, 7, 7, 3, 2])).collect()
+    assert sorted(map(tuple, got)) == [(5, 1), (7, 3), (9, 1)]
+    # whichever of its texts would be taken alone
+    got = simhash.near_duplicates(frame(spark, [a, b, b, a], ids=[1, 1, 4, 6])).collect()
+    assert sorted(map(tuple, got)) == [(4, 1), (6, 1)]
+
+
+def test_simhash_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 100)
+    rng = np.random.default_rng(1)
+    h = rng.integers(-(2**63), 2**63, (3000, 4))
+    h[:1500, 0] = rng.integers(0, 2**20, 1500)
+    h[2000:2200] = h[:200] ^ (np.int64(1) << rng.integers(0, 60, (200, 4)))
+    df = spark.createDataFrame([(i, *map(int, x)) for i, x in enumerate(h)], "doc_id long, h0 long, h1 long, h2 long, h3 long")
+    u = h.view(np.uint64)
+    d = np.bitwise_count(u[:, None] ^ u[None])
+    a, b = np.nonzero(np.triu((d[..., 0] <= simhash.RADIUS) & (d.sum(2) <= simhash.TOTAL), 1))
+    got = np.array([tuple(r) for r in simhash.edges(df).collect()])
+    assert {*zip(*map(np.ndarray.tolist, simhash.forest(a, b)))} == {*zip(*map(np.ndarray.tolist, simhash.forest(got[:, 0], got[:, 1])))} and len(a) >= 200
+
+
 def test_simhash_awkward(spark, awkward):
     assert [tuple(r) for r in simhash.near_duplicates(awkward).collect()] == [(7, 6)]
     assert simhash.drop_near_duplicates(awkward).count() == 9
@@ -302,11 +333,10 @@ def test_contamination_equals_brute_force(spark):
     want = {}
     for k, item in enumerate(items):
         n = norm(item)
-        if len(n) >= decontaminate.SHORTEST:
-            for i, t in enumerate(texts):
-                e = edit_distance_inside(n, norm(t))
-                if e <= int(len(n) * decontaminate.BUDGET):
-                    want[i, k] = e
+        for i, t in enumerate(texts):
+            e = edit_distance_inside(n, norm(t))
+            if e <= (int(len(n) * decontaminate.BUDGET) if len(n) >= decontaminate.SHORTEST else 0):
+                want[i, k] = e
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     rows = decontaminate.contaminated(frame(spark, texts, clash=True), bench).collect()
     assert {(r.doc_id, r.item_id) for r in rows} == set(want) and len(want) > 15
@@ -325,6 +355,25 @@ def test_contamination_in_other_dress(spark):
     assert [g[:2] for g in got] == [(0, 5), (1, 5), (1, 5), (3, 5)] and got[0][2] == 7
 
 
+def test_short_and_long_items(spark, monkeypatch):
+    rng = random.Random(23)
+    long = " ".join(words(rng, 3000))
+    bench = spark.createDataFrame([(1, "A quote of 29 characters, sir"), (2, "yes!"), (3, long), (4, "12345678901"), (5, "..."), (2, "yes")], "item_id long, text string")
+    w = long.split()
+    texts = [
+        "he gave a quote of 29 characters sir and went", "a quote of 29 charakters sir", " - YES. ", "yes it is", "say yes", "x12345678901y", "1234567890",
+        "before " + long + " after", " ".join(w[: len(w) // 2]), " ".join(words(rng, 200)), "...", "",
+    ]
+    got = decontaminate.contaminated(frame(spark, texts), bench).collect()
+    parts = -(-len(long) // decontaminate.LONGEST)
+    assert parts > 5 and Counter((r.doc_id, r.item_id) for r in got if r.doc_id != 8) == {(0, 1): 1, (2, 2): 1, (5, 4): 1, (7, 3): parts}
+    assert 0 < sum(r.doc_id == 8 for r in got) <= parts // 2 + 1
+    assert [(r.start_char, r.end_char) for r in got if r.doc_id == 2] == [(3, 6)]
+    assert {r.doc_id for r in decontaminate.drop_contaminated(frame(spark, texts), bench).collect()} == {1, 3, 4, 6, 9, 10, 11}
+    monkeypatch.setattr(decontaminate, "CELLS", 1)
+    assert sorted(decontaminate.contaminated(frame(spark, texts), bench).collect()) == sorted(got)
+
+
 def test_contamination_awkward(spark, awkward, monkeypatch):
     bench = spark.createDataFrame([(i, " ".join(words(random.Random(i + 50), 12))) for i in range(6)], "item_id long, text string")
     assert decontaminate.contaminated(awkward, bench).collect() == []
@@ -340,7 +389,9 @@ def test_contamination_awkward(spark, awkward, monkeypatch):
 
 
 @pytest.mark.parametrize(("n", "capacity"), [(0, 64), (1, 64), (300, 64), (2000, 256)])
-def test_packing_lays_every_piece_once(spark, n, capacity):
+def test_packing_lays_every_piece_once(spark, monkeypatch, n, capacity):
+    if n == 2000:  # many slots of one length
+        monkeypatch.setattr(packing, "SLOT_ROWS", 7)
     rng = np.random.default_rng(n)
     size = rng.lognormal(np.log(capacity / 6), 1.3, n).astype(int)
     df = frame(spark, ["x" * int(s) for s in size], clash=True)
@@ -360,6 +411,52 @@ def test_packing_lays_every_piece_once(spark, n, capacity):
     assert sorted(bins) == list(range(len(bins))) and len(bins) <= 1.05 * least + 2
 
 
+def fewest_bins(sizes, capacity):
+    """By trying every bin for every size."""
+    best = len(sizes)
+
+    def put(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(sizes):
+            best = len(rooms)
+            return
+        for r in sorted(set(rooms)):
+            if r >= sizes[i]:
+                j = rooms.index(r)
+                put(i + 1, rooms[:j] + [r - sizes[i]] + rooms[j + 1 :])
+        put(i + 1, [*rooms, capacity - sizes[i]])
+
+    sizes = sorted(sizes, reverse=True)
+    put(0, [])
+    return best
+
+
+def test_plans_against_every_packing():
+    rng = random.Random(19)
+    extra = []
+    for _ in range(150):
+        capacity = rng.choice([30, 64, 100])
+        sizes = [min(capacity, max(1, int(rng.lognormvariate(2.5, 1)))) for _ in range(rng.randint(1, 10))]
+        rows, bins = packing.plan(dict(Counter(sizes)), capacity)
+        load = Counter()
+        for s, a, z, b, each, _ in rows.tolist():
+            for i in range(z - a):
+                load[b + i // each] += s
+        assert sum(load.values()) == sum(sizes) and max(load.values()) <= capacity and set(load) == set(range(bins))
+        extra.append(bins - fewest_bins(sizes, capacity))
+    # never more than one bin beyond the best there is, and seldom that
+    assert set(extra) <= {0, 1} and sum(extra) <= 15
+
+
+def test_many_equal_rows_are_all_laid(spark, monkeypatch):
+    monkeypatch.setattr(packing, "COPIES", 10)
+    rows = packing.pack(frame(spark, ["x" * 40] * 95 + ["x" * 64, "y" * 200], ids=[None] * 60 + [3] * 35 + [4, 5]), 64, F.length("text")).collect()
+    assert Counter((r.doc_id, r.length) for r in rows) == {(None, 40): 60, (3, 40): 35, (4, 64): 1, (5, 64): 3, (5, 8): 1}
+    assert len({(r.bin_id, r.position) for r in rows}) == len(rows)
+
+
 def test_packing_awkward(spark, awkward):
     rows = packing.pack(awkward).collect()
     assert {r.doc_id for r in rows} == {3, 4, 6, 7, 8, 9, None} and sum(r.doc_id == 4 for r in rows) == 2
