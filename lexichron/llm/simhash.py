@@ -23,6 +23,8 @@ RADIUS, TOTAL = 16, 48
 BLOCK_ROWS, LEAST_BLOCKS = 1 << 19, 12
 #: Rows and columns of a tile: its exclusive-ors fit in a core's cache.
 TILE, WIDE = 128, 1024
+#: Words of weight 8 at most whose counters fit in a byte.
+FEW = 31
 WORDS = ("h0", "h1", "h2", "h3")
 
 
@@ -42,13 +44,18 @@ def fingerprint_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
     cols = [batch.column(0).take(pa.array(have))]
     if len(have):
         half = np.add.reduceat(weight.astype(np.int64), first)[:, None]
+        # eight counters of a byte each are added as one number, over so few words that none overflows
+        starts = np.flatnonzero((np.arange(len(doc)) - np.repeat(first, np.diff(np.append(first, len(doc))))) % FEW == 0)
+        own = np.searchsorted(starts, first)
+        lanes = weight.astype(np.uint64)[:, None]
     for k in range(4):
         if not len(have):
             cols.append(pa.array([], pa.int64()))
             continue
-        bits = np.unpackbits(vec.mix(h, k + 1).view(np.uint8).reshape(-1, 8), axis=1)
-        bits *= weight[:, None]
-        sums = np.add.reduceat(bits, first, axis=0, dtype=np.uint32)
+        bits = np.unpackbits(vec.mix(h, k + 1).view(np.uint8).reshape(-1, 8), axis=1).view(np.uint64)
+        bits *= lanes
+        few = np.add.reduceat(bits, starts, axis=0).view(np.uint8)
+        sums = np.add.reduceat(few, own, axis=0, dtype=np.uint32)
         cols.append(pa.array(np.packbits(2 * sums.astype(np.int64) > half, axis=1).view(np.int64).ravel()))
     return pa.RecordBatch.from_arrays(cols, names=["doc_id", *WORDS])
 
