@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.shared import unused
-from .ranks import with_places
+from ..sources.places import with_places
 
 COLUMNS = ("source", "year", "kwic", "text", "L-context", "keyword", "R-context")
 _HEAD = r"(?U)<B>(.*?)\s(\d{4})</B>"

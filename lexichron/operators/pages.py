@@ -17,6 +17,11 @@ _VOID = frozenset("area base br col embed hr img input link meta source track wb
 _ITEM = "pos int, title string, ps array<array<string>>, lines array<string>, text string"
 
 
+#: Start tags that end open elements without an end tag, and what keeps them from reaching further out.
+_ENDS = {"li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, **dict.fromkeys("p div ul ol table h1 h2 h3 section article".split(), {"p"})}
+_WALLS = {"li": {"ul", "ol"}, "tr": {"table", "tbody", "thead"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tbody": {"table"}}
+
+
 class Node:
     __slots__ = ("tag", "attrs", "children")
 
@@ -45,6 +50,15 @@ class Tree(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         n = Node(tag, {k: v or "" for k, v in attrs})
+        ends, walls = _ENDS.get(tag, ()), _WALLS.get(tag)
+        while len(self.open) > 1 and ends:
+            if walls is None:
+                at = len(self.open) - 1 if self.open[-1].tag in ends else 0
+            else:
+                at = next((i for i in range(len(self.open) - 1, 0, -1) if self.open[i].tag in ends or self.open[i].tag in walls), 0)
+            if not at or self.open[at].tag not in ends:
+                break
+            del self.open[at:]
         self.open[-1].children.append(n)
         if tag not in _VOID:
             self.open.append(n)
@@ -149,21 +163,51 @@ def extract_articles(pages: DataFrame, max_pages: int = 100, date: str | None =
     return first_of_key(article_records(page_items(pages.where(F.col("page_no") <= limit)), date))
 
 
+def result_rows(html: str, list_id: str = "DataList", per_page: int = 5) -> list[tuple[int, str, str]]:
+    """(pos, source, content) of the first rows of a result table; a row without both parts is left out, and no other moves into its place."""
+    out = []
+    for table in parse_html(html).walk():
+        if table.attrs.get("id") == list_id:
+            body = next((n for n in table.elements() if n.tag == "tbody"), table)
+            for i, row in enumerate(body.elements()[:per_page]):
+                parts = [n for cell in row.elements() if row.tag == "tr" and cell.tag == "td" for box in cell.elements() if box.tag == "div" for n in box.elements() if n.tag == "div"]
+                both = [next((_clean(n.text()) for n in parts if c in n.attrs.get("class", "").split()), None) for c in ("derivation", "summary")]
+                if None not in both:
+                    out.append((i, *both))
+            break
+    return out
+
+
 def snippets(pages: DataFrame, per_page: int = 5) -> DataFrame:
-    """(page_no, pos, source, content): the first rows of each result page, from elements of class derivation and summary."""
+    """(page_no, pos, source, content): the first rows of each result page, from the elements of class derivation and summary in one row."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = []
-            for page, html in zip(f["page_no"], f["html"]):
-                nodes = list(parse_html(html).walk())
-                by = [[_clean(n.text()) for n in nodes if c in n.attrs.get("class", "").split()] for c in ("derivation", "summary")]
-                rows += [(page, i, s, t) for i, (s, t) in enumerate(zip(*by)) if i < per_page]
+            rows = [(page, *r) for page, html in zip(f["page_no"], f["html"]) for r in result_rows(html, per_page=per_page)]
             yield pd.DataFrame(rows, columns=["page_no", "pos", "source", "content"])
 
     return pages.select("page_no", "html").mapInPandas(run, "page_no long, pos int, source string, content string")
 
 
+def has_next(html: str, pager_id: str = "layui-laypage-0", cls: str = "layui-laypage-next", disabled: str = "layui-disabled", label: str = "下一页") -> bool:
+    """Whether a list page has a button to the next page that isn't disabled."""
+    for pager in parse_html(html).walk():
+        if pager.attrs.get("id") == pager_id:
+            button = next((n for n in pager.walk() if n.tag == "a" and cls in n.attrs.get("class", "").split()), None)
+            return button is not None and disabled not in button.attrs.get("class", "").split() and label in _clean(button.text())
+    return False
+
+
+def next_pages(pages: DataFrame) -> DataFrame:
+    """(page_no, more): whether a further page follows each saved one."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"page_no": f["page_no"], "more": [has_next(x) for x in f["html"]]})
+
+    return pages.select("page_no", "html").mapInPandas(run, "page_no long, more boolean")
+
+
 def element_texts(html: Column | str, tag: str) -> Column:
     """The texts of all elements of a tag that holds none of its kind, without inner tags; built-in expressions only."""
     return F.transform(F.regexp_extract_all(html, F.lit(rf"(?s)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>"), 1), lambda t: T.collapse(F.regexp_replace(t, r"<[^>]*>", "")))

@@ -93,6 +93,8 @@ def year_similarity(docs: DataFrame, tokens: Column | str, method: str, n: int,
     return cosine_matrix(v, sizes, group)
 
 
-def wide(matrix: DataFrame, years: list[str], value: str = "mean") -> DataFrame:
-    """One row and one column for each year."""
+def wide(matrix: DataFrame, years: list[str] | None = None, value: str = "mean") -> DataFrame:
+    """One row and one column for each year, columns in the order of `years` or, without it, of all years there are (one row a year comes to the driver)."""
+    if years is None:
+        years = [r[0] for r in matrix.select("year_b").distinct().orderBy("year_b").collect()]
     return matrix.groupBy("year_a").pivot("year_b", years).agg(F.first(value)).withColumnRenamed("year_a", "year")

@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.readers import read_terms
 
 
 def longest_match(text: str, words: frozenset[str], longest: int) -> list[str]:
@@ -53,6 +54,10 @@ def combine(tokens: list[str], joined: frozenset[str], longest: int) -> list[str
     return out
 
 
+#: Terms of a list that goes to every task.
+MOST_TERMS = 1_000_000
+
+
 @dataclass(frozen=True)
 class Tokenizer:
     """How texts become tokens. `load` gives a function text -> tokens, called once in each Python worker; without it and without dictionaries, words
@@ -65,6 +70,19 @@ class Tokenizer:
     shortest: int = 2
     normalize: Callable[[Column], Column] | None = None
 
+    @classmethod
+    def from_files(cls, spark: SparkSession, stop: str | None = None, force: str | None = None, combined: str | None = None, use_stopwords: bool = True, use_dictionaries: bool = True, **settings) -> Tokenizer:
+        """A tokenizer with the terms of these files, one a line. A file that is absent, or whose kind isn't to be used, counts as empty; a list of more than
+        MOST_TERMS terms is an error (without_stop_words() takes longer ones)."""
+
+        def terms(path: str | None, used: bool) -> frozenset[str]:
+            rows = read_terms(spark, path if used else None).limit(MOST_TERMS + 1).collect()
+            if len(rows) > MOST_TERMS:
+                raise ValueError(f"{path} has more than {MOST_TERMS} terms")
+            return frozenset(r.term for r in rows)
+
+        return cls(stop=terms(stop, use_stopwords), force=terms(force, use_dictionaries), combined=terms(combined, use_dictionaries), **settings)
+
     def tokens(self, c: Column | str) -> Column:
         c = F.col(c) if isinstance(c, str) else c
         c = F.coalesce(self.normalize(c) if self.normalize else c, F.lit(""))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.stats import normal_pdf, smooth_idf
-from .ranks import with_places
+from ..sources.places import with_places
 
 ALL = "all"
 DECIMALS = 9

@@ -9,13 +9,14 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions.stats import smooth_idf
 from ..operators import kwic, pages, similarity, topics, weights
-from ..operators.tokens import Tokenizer, explode_tokens, without_stop_words
+from ..operators.tokens import Tokenizer, explode_tokens, longest_match, retokenized, without_stop_words
 from ..sources import readers, sinks
-from ..sources.shared import scratch, table
+from ..sources.shared import cut, scratch, table
 from ..streaming.ingest import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -187,6 +188,41 @@ def tfidf_free(spark, sf_dir):
     return weights.tfidf(t.withColumn("source", F.lit("free")), "source", "doc_id", all_group=False)
 
 
+# a file for each source and one for all: what they hold, from their names and columns
+@query(f"WITH {TF}, r AS ({tfidf_sql('g').replace('n AS (SELECT source, count(DISTINCT', 'WITH n AS (SELECT source, count(DISTINCT', 1)}) SELECT CASE WHEN source = 'all' THEN 'bcc_k_tfidf_norml1.csv' ELSE 'bcc_' || source || '_k_tfidf_norml1.csv' END AS file, term, docf, count, \"tf-idf\", rank FROM r")
+def tfidf_files(spark, sf_dir):
+    at = scratch(spark)
+    names = sinks.write_tfidf(weights.tfidf(tokens(spark, sf_dir), "source", "doc_id"), at, "k", "source")
+    schema = "term string, docf long, count long, idf double, `tf-idf` double, normdis double, rank long"
+    r = spark.read.options(**sinks.CSV).csv(names, schema=schema).withColumn("file", F.element_at(F.split("_metadata.file_path", "/"), -1))
+    return r.select("file", "term", "docf", "count", "tf-idf", "rank")
+
+
+# a dictionary of words to keep whole, one of words to put together, stop words; from files, used or not
+@query("SELECT doc_id, [source, '参政权', lang, '议员', '宪法'] AS tokens, [source, lang] AS plain FROM documents")
+def tokens_from_files(spark, sf_dir):
+    at = scratch(spark)
+    for name, terms in (("stop", ["国会", "的"]), ("force", ["参政权", "国会", "参政"]), ("combine", ["议员", "宪法"])):
+        sinks.write_single(spark.createDataFrame([(t,) for t in terms], "value string"), f"{at}/{name}.txt", "text")
+    files = {"stop": f"{at}/stop.txt", "force": f"{at}/force.txt", "combined": f"{at}/combine.txt"}
+    text = F.concat("source", F.lit("参政权"), "lang", F.lit("的国会议员 宪法"))
+    full, plain = Tokenizer.from_files(spark, **files), Tokenizer.from_files(spark, **files, use_stopwords=False, use_dictionaries=False, load=lambda: lambda s: longest_match(s, frozenset(), 1))
+    return table(spark, sf_dir, "documents").select("doc_id", full.tokens(text).alias("tokens"), plain.tokens(text).alias("plain"))
+
+
+# any tokenizer and any normaliser: the text is normalised first, then cut, then filtered
+@query(r"SELECT doc_id, list_filter(string_split('国会 ' || source || ' a ' || replace(text, '-', ' '), ' '), lambda x: length(x) >= 2) AS tokens FROM documents WHERE text IS NOT NULL")
+def tokens_by_hook(spark, sf_dir):
+    t = Tokenizer(load=lambda: lambda s: s.split(" "), normalize=lambda c: F.replace(T.simplify(c), F.lit("-"), F.lit(" ")))
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", t.tokens(F.concat(F.lit("國會 "), "source", F.lit(" a "), "text")).alias("tokens"))
+
+
+# tokens joined and cut again, as a vectorizer does
+@query(r"SELECT conv_id, turn, regexp_extract_all(lower(array_to_string(regexp_split_to_array(text, '\s+'), ' ')), '[\p{L}\p{N}_]{2,}') AS tokens FROM conversations WHERE text IS NOT NULL")
+def tokens_again(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", retokenized(F.split("text", r"\s+")).alias("tokens"))
+
+
 # Similarity of periods
 
 SIZES = "sz AS (SELECT source, count(*) AS c FROM documents GROUP BY source)"
@@ -244,34 +280,97 @@ for _m in VECTORS:
 _SOURCES = [f"src{i}" for i in range(20)]
 
 
-@query(f"WITH {DRAWN}, {VECTORS['count']}, {MATRIX} SELECT year_a AS year, " + ", ".join(f"round(avg(sim) FILTER (year_b = '{s}'), 9) AS {s}" for s in _SOURCES) + " FROM m GROUP BY year_a")
+def _pivot_sql(agg: str) -> str:
+    return f"WITH {DRAWN}, {VECTORS['count']}, {MATRIX} SELECT year_a AS year, " + ", ".join(f"round({agg}(sim) FILTER (year_b = '{s}'), 9) AS {s}" for s in _SOURCES) + " FROM m GROUP BY year_a"
+
+
+# the SQL names the sources of the given tables; the columns come from the data
+@query(_pivot_sql("avg"))
 def sim_pivot(spark, sf_dir):
-    return similarity.wide(similarity.over_replicates(matrices(spark, sf_dir, "count")), _SOURCES)
+    return similarity.wide(similarity.over_replicates(matrices(spark, sf_dir, "count")))
+
 
+@query(_pivot_sql("stddev_pop"))
+def sim_pivot_std(spark, sf_dir):
+    return similarity.wide(similarity.over_replicates(matrices(spark, sf_dir, "count")), value="std")
 
-# Topics
+
+# Topics: values depend on the implementation, so the queries give what must hold of them
 
 
 def _tokens_of(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "source", Tokenizer(stop=frozenset(STOP)).tokens("text").alias("tokens"))
 
 
-@query()
+# every document has shares of all topics that add up to one; the smallest are left out, 6 % at most; its row has a number, and each share four decimals
+@query("SELECT CAST(row_number() OVER (ORDER BY doc_id) AS BIGINT) AS number, doc_id, source, CAST(7 AS BIGINT) AS cells, true AS whole FROM documents")
 def lda_doc_topics(spark, sf_dir):
     d = _tokens_of(spark, sf_dir)
     m = topics.fit_topics(d, k=7, passes=20, seed=1938)
-    return topics.topic_columns(m.documents(d, least=0.01).drop("tokens"), 7)
+    t = topics.topic_table(d, m, "doc_id", columns=("doc_id", "source"), first=1)
+    cells = [F.col(f"topic {i}") for i in range(7)]
+    good = sum((c.isNull() | c.rlike(r"^[01]\.[0-9]{4}$")).cast("long") for c in cells)
+    total = sum(F.coalesce(c.cast("double"), F.lit(0.0)) for c in cells)
+    return t.select(F.col("`no.`").alias("number"), "doc_id", "source", good.alias("cells"), total.between(0.93, 1.001).alias("whole"))
 
 
-@query()
+# ten leading terms for each topic, from the vocabulary, by falling weight
+@query("SELECT CAST(t AS INTEGER) AS topic, CAST(p AS INTEGER) AS position, true AS known, true AS falling FROM range(15) a(t), range(10) b(p)")
 def lda_topic_terms(spark, sf_dir):
-    return topics.fit_topics(_tokens_of(spark, sf_dir), k=15, passes=20, seed=42).terms(10)
+    d = _tokens_of(spark, sf_dir)
+    terms = topics.fit_topics(d, k=15, passes=20, seed=42).terms(10)
+    known = d.select(F.explode("tokens").alias("term")).join(F.broadcast(terms.select("term").distinct()), "term", "left_semi").distinct().withColumn("known", F.lit(True))
+    before = F.lag("weight").over(Window.partitionBy("topic").orderBy("position"))
+    falling = terms.withColumn("falling", F.coalesce(F.col("weight") <= before, F.col("weight") > 0))
+    return falling.join(known, "term", "left").select("topic", "position", F.coalesce("known", F.lit(False)).alias("known"), "falling")
 
 
-@query()
+# a matrix of all pairs of periods, symmetrical, one on the diagonal, between 0 and 1
+@query(f"WITH {SIZES} SELECT a.source AS year_a, b.source AS year_b, true AS symmetrical, true AS within, a.source = b.source AS one FROM sz a, sz b")
 def sim_lda(spark, sf_dir):
     d = similarity.sample_groups(_tokens_of(spark, sf_dir), SAMPLE, REPLICATES, "source")
-    return similarity.over_replicates(topics.topic_similarity(d, group="source", k=10, passes=15))
+    m = cut(similarity.over_replicates(topics.topic_similarity(d, group="source", k=10, passes=15)))
+    other = m.select(F.col("year_b").alias("year_a"), F.col("year_a").alias("year_b"), F.col("mean").alias("m"), F.col("std").alias("s"))
+    same = (F.abs(F.col("mean") - F.col("m")) < 1e-8) & (F.abs(F.col("std") - F.col("s")) < 1e-8)
+    return m.join(other, ["year_a", "year_b"]).select("year_a", "year_b", same.alias("symmetrical"), F.col("mean").between(0, 1 + 1e-9).alias("within"), (F.abs(F.col("mean") - 1) < 1e-9).alias("one"))
+
+
+def _turns(spark, sf_dir) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").where("role is not null")
+    year = (F.col("turn") % 2 + 1990).cast("string")
+    return c.select("conv_id", "turn", F.col("role").alias("keyword"), year.alias("year"), "text", Tokenizer().tokens("text").alias("tokens"))
+
+
+# a model for each keyword over all years and for each year: as many numbered rows as documents, 15 shares with four decimals, ten terms a topic
+@query("""WITH d AS (SELECT role AS keyword, unnest(['all', CAST(1990 + turn % 2 AS VARCHAR)]) AS year FROM conversations WHERE role IS NOT NULL)
+SELECT keyword, year, CAST(count(*) AS BIGINT) AS documents, CAST(count(*) AS BIGINT) AS last, CAST(15 * count(*) AS BIGINT) AS cells, CAST(150 AS BIGINT) AS terms FROM d GROUP BY keyword, year""")
+def lda_by_keyword(spark, sf_dir):
+    out = None
+    for keyword, year, own, m in topics.by_keyword(_turns(spark, sf_dir), k=15, passes=20, seed=42):
+        t = topics.topic_table(own, m, "conv_id", "turn", columns=("text",), first=1)
+        good = sum((F.col(f"topic {i}").isNull() | F.col(f"topic {i}").rlike(r"^[01]\.[0-9]{4}$")).cast("long") for i in range(15))
+        row = t.agg(F.count("*").alias("documents"), F.max("`no.`").alias("last"), F.sum(good).alias("cells"))
+        row = row.select(F.lit(keyword).alias("keyword"), F.lit(year).alias("year"), "documents", "last", "cells", F.lit(m.terms(10).count()).cast("long").alias("terms"))
+        out = row if out is None else out.unionAll(row)
+    return spark.createDataFrame([], "keyword string, year string, documents long, last long, cells long, terms long") if out is None else out
+
+
+# both files of a model as a user gets them: the terms of each topic in a line, the documents with their numbers and shares
+@query("""SELECT 'documents' AS file, CAST(row_number() OVER (ORDER BY item_id) AS VARCHAR) AS line, CAST(item_id AS VARCHAR) AS head, true AS shaped FROM benchmark
+UNION ALL SELECT 'terms', CAST(t + 1 AS VARCHAR), 'Topic ' || CAST(t AS VARCHAR), true FROM range(7) r(t)""")
+def lda_files(spark, sf_dir):
+    at = scratch(spark)
+    d = table(spark, sf_dir, "benchmark").select("item_id", F.col("item_id").cast("string").alias("author"), Tokenizer().tokens("text").alias("tokens"))
+    m = topics.fit_topics(d, k=7, passes=20, seed=1938)
+    terms, shares = sinks.topic_names("free", "all")
+    sinks.write_single(sinks.topic_lines(m.terms(10)), f"{at}/{terms}", "text", bom=False)
+    sinks.write_single(topics.topic_table(d, m, "item_id", columns=("author",), least=None, prefix="topic_", first=1).orderBy("`no.`"), f"{at}/{shares}")
+    schema = "`no.` string, author string, " + ", ".join(f"topic_{i} string" for i in range(7))
+    t = readers.read_csv(spark, f"{at}/{shares}", schema)
+    shaped = F.forall(F.array(*(f"topic_{i}" for i in range(7))), lambda x: x.rlike(r"^[01]\.[0-9]{4}$"))
+    own = t.select(F.lit("documents").alias("file"), F.col("`no.`").alias("line"), F.col("author").alias("head"), shaped.alias("shaped"))
+    lines = spark.read.text(f"{at}/{terms}").select("value", F.regexp_extract("value", r"^(Topic (\d+)): ", 1).alias("head"), F.regexp_extract("value", r"^Topic (\d+): ", 1).alias("i"))
+    return own.unionAll(lines.select(F.lit("terms"), (F.col("i").cast("int") + 1).cast("string"), "head", F.col("value").rlike(r'^Topic \d+: ("[^"]+", [01]\.\d{3}, ){9}"[^"]+", [01]\.\d{3}$')))
 
 
 # Journal records
@@ -335,6 +434,72 @@ def article_dedup(spark, sf_dir):
     return pages.first_of_key(d, "key", "doc_id")
 
 
+def _list_pages(spark, sf_dir) -> DataFrame:
+    """Saved list pages of ten records each, built from the documents: labels in several spellings, missing lines, one-node labels, and the same record on two pages."""
+    d = table(spark, sf_dir, "documents").where("text is not null").withColumn("n", F.col("doc_id") % 12)
+    x = T.xml_escape
+    when = lambda k, html: F.when(F.col("doc_id") % k != 0, html).otherwise("")
+    code = F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8)
+    item = F.concat(
+        F.lit("<li><div><a href='#'>"), x(F.concat("lang", F.lit(" & <"), (F.col("n_chars") % 10).cast("string"), F.lit(">"))), F.lit("</a><a>more</a></div>\n"),
+        when(7, F.concat(F.when(F.col("doc_id") % 11 == 0, "<p>作者：").otherwise("<p><b>作　　者：</b>"), "source", F.lit("、 "), "lang", F.lit("</p>"))),
+        F.lit("<p>出处：《"), "source", F.lit("》，"), (F.col("n") + 1900).cast("string"), F.lit("年第"), _numeral(F.col("n")), F.lit("期，"), F.col("n").cast("string"), F.lit(" - "), "n_chars", F.lit("</p>"),
+        when(5, F.concat(F.when(F.col("doc_id") % 3 == 0, "<p><b>關 鍵 詞：</b>").otherwise("<p><span>关键词</span><i>：</i>"), "lang", F.lit(";"), "source", F.lit("|"), code, F.lit("</p>"))),
+        F.lit("<p>摘　要："), x(F.substring("text", 1, 60)), F.lit("</p>"),
+        when(4, F.concat(F.lit("<p>基金项目：本文"), F.when(F.col("doc_id") % 3 == 0, "系").otherwise("受"), "source", F.lit("基金项目“"), "lang", F.lit("”（"), code, F.lit("）</p>"))),
+        F.lit("<span>下载次数：</span>"), "n_chars", F.lit("\n"), when(2, F.concat(F.lit("<span>阅读量: "), "doc_id", F.lit("</span>"))), F.lit("</li>"),
+    )
+    pages_ = d.select(F.floor(F.col("doc_id") / 10).alias("page_no"), "doc_id", item.alias("li")).groupBy("page_no").agg(F.sort_array(F.collect_list(F.struct("doc_id", "li"))).alias("items"))
+    last = F.when(F.col("page_no") % 3 == 0, "<a class='layui-laypage-next layui-disabled'>下一页</a>").when(F.col("page_no") % 3 == 1, "<a class='x layui-laypage-next'> 下一页 </a>").otherwise("")
+    return pages_.select("page_no", F.concat(F.lit("<html><ul><li>menu</li></ul><ul id=ul_articlelist>"), F.array_join("items.li", "\n"), F.lit("</ul><div id='layui-laypage-0'><a>1</a>"), last, F.lit("</div></html>")).alias("html"))
+
+
+_ARTICLES = rf"""
+a0 AS (SELECT *, CAST(doc_id % 12 AS INTEGER) AS n, {_CODE} AS code, CAST(doc_id // 10 AS BIGINT) AS page_no FROM documents WHERE text IS NOT NULL),
+a1 AS (SELECT page_no, CAST(row_number() OVER (PARTITION BY page_no ORDER BY doc_id) - 1 AS INTEGER) AS pos, lang || ' & <' || CAST(n_chars % 10 AS VARCHAR) || '>' AS title, source AS journal, CAST(1900 + n AS VARCHAR) AS year,
+  CASE WHEN n = 0 THEN '' ELSE CAST(n AS VARCHAR) END AS issue, CAST(n AS VARCHAR) AS startpage, CAST(n_chars AS VARCHAR) AS endpage,
+  CASE WHEN doc_id % 7 = 0 OR doc_id % 11 = 0 THEN CAST([] AS VARCHAR[]) ELSE [source, lang] END AS authors, CASE WHEN doc_id % 5 = 0 THEN CAST([] AS VARCHAR[]) ELSE [lang, source, code] END AS keywords,
+  trim(regexp_replace(substr(text, 1, 60), '\s+', ' ', 'g')) AS abstract,
+  CASE WHEN doc_id % 4 = 0 THEN '' ELSE '本文' || (CASE WHEN doc_id % 3 = 0 THEN '系' ELSE '受' END) || source || '基金项目“' || lang || '”（' || code || '）' END AS acknowledgement,
+  CASE WHEN doc_id % 4 <> 0 AND doc_id % 3 = 0 THEN source || '基金项目' ELSE '' END AS "order", CASE WHEN doc_id % 4 = 0 THEN '' ELSE lang END AS researchtitle, CASE WHEN doc_id % 4 = 0 THEN '' ELSE code END AS number,
+  CAST(n_chars AS VARCHAR) AS download, CASE WHEN doc_id % 2 = 0 THEN '0' ELSE CAST(doc_id AS VARCHAR) END AS read FROM a0),
+a AS (SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (PARTITION BY title, journal, year, startpage ORDER BY page_no, pos) AS k FROM a1) WHERE k = 1)"""
+
+
+def _flat_articles(df: DataFrame, *keep: str) -> DataFrame:
+    # an element without text comes back from XML as a null
+    t = lambda c, name: F.coalesce(c, F.lit("")).alias(name)
+    plain = [t(F.col(c), c.split(".")[-1]) for c in ("title", "journal", "year", "issue", "page.startpage", "page.endpage", "funding.acknowledgement", "funding.order", "funding.researchtitle", "funding.number", "abstract", "impact.download", "impact.read")]
+    return df.select(*keep, "authors", "keywords", *plain)
+
+
+@query(f"WITH {_ARTICLES} SELECT * FROM a")
+def articles(spark, sf_dir):
+    return _flat_articles(pages.extract_articles(_list_pages(spark, sf_dir), 1 << 40, "2024-01-01"), "page_no", "pos")
+
+
+@query(f"WITH {_ARTICLES} SELECT * EXCLUDE (page_no, pos) FROM a")
+def article_round_trip(spark, sf_dir):
+    at = scratch(spark)
+    found = pages.extract_articles(_list_pages(spark, sf_dir), 1 << 40, "2024-01-01")
+    sinks.write_article_xml(found.drop("page_no", "pos", "key"), at)
+    return _flat_articles(readers.read_article_xml(spark, at))
+
+
+@query("SELECT CAST(doc_id // 10 AS BIGINT) AS page_no, any_value(doc_id // 10 % 3 = 1) AS more FROM documents WHERE text IS NOT NULL GROUP BY doc_id // 10")
+def next_page(spark, sf_dir):
+    return pages.next_pages(_list_pages(spark, sf_dir))
+
+
+@query(r"SELECT CAST(doc_id // 7 AS BIGINT) AS page_no, CAST(row_number() OVER (PARTITION BY doc_id // 7 ORDER BY doc_id) - 1 AS INTEGER) AS pos, source, trim(regexp_replace(substr(text, 1, 80), '\s+', ' ', 'g')) AS content FROM documents WHERE text IS NOT NULL QUALIFY pos < 5 AND doc_id % 5 <> 0 AND doc_id % 3 <> 0")
+def snippets(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    when = lambda k, html: F.when(F.col("doc_id") % k != 0, html).otherwise("")
+    row = F.concat(F.lit("<tr><td><div>"), when(5, F.concat(F.lit("<div class='derivation'>"), "source", F.lit("</div>"))), when(3, F.concat(F.lit("<div class='x summary'>"), T.xml_escape(F.substring("text", 1, 80)), F.lit("</div>"))), F.lit("</div>"))
+    p = d.select(F.floor(F.col("doc_id") / 7).alias("page_no"), "doc_id", row.alias("row")).groupBy("page_no").agg(F.sort_array(F.collect_list(F.struct("doc_id", "row"))).alias("rows"))
+    return pages.snippets(p.select("page_no", F.concat(F.lit("<table id='DataList'><tbody>"), F.array_join("rows.row", ""), F.lit("</tbody></table>")).alias("html")))
+
+
 def _first_element(tag: str) -> str:
     return _sql_text(rf"regexp_extract(html, '(?s)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>', 1)")
 
@@ -390,6 +555,42 @@ def csv_round_trip(spark, sf_dir):
     return readers.read_csv(spark, at)
 
 
+# a file of lines for each year, read again with its lines numbered
+@query(rf"""WITH {KWIC}, c AS (SELECT doc_id, year, regexp_replace(kwic, '\s+', ' ', 'g') AS content FROM k)
+SELECT content, year, CAST(row_number() OVER (PARTITION BY year ORDER BY doc_id) - 1 AS BIGINT) AS line FROM c""")
+def concordance_round_trip(spark, sf_dir):
+    at = scratch(spark)
+    d = parsed(spark, sf_dir).select("doc_id", "year", F.regexp_replace("kwic", r"\s+", " ").alias("value"))
+    sinks.write_groups(d, at, "year", lambda y: f"{sinks.CORPUS}_k_{y}.txt", "text", order=("doc_id",))
+    back = readers.read_concordance(spark, at, "k", 1900, 1919)
+    return back.select("content", F.regexp_extract("file", r"_(\d{4})\.txt$", 1).alias("year"), "line")
+
+
+@query(rf"SELECT {_trim("coalesce(role, '')")} AS author, {_trim("coalesce(role, '')")} || ' ' || {_trim("coalesce(text, '')")} AS document FROM conversations WHERE {_trim("coalesce(role, '')")} <> '' OR {_trim("coalesce(text, '')")} <> ''")
+def free_xml_round_trip(spark, sf_dir):
+    at = scratch(spark)
+    sinks.write_free_xml(table(spark, sf_dir, "conversations").select(F.col("role").alias("author"), F.col("text").alias("content")), at)
+    return kwic.free_documents(readers.read_free_xml(spark, at))
+
+
+# a term list as a file, with a byte order mark, blank lines and repetitions
+@query("SELECT DISTINCT source AS term FROM documents WHERE source IS NOT NULL")
+def term_list(spark, sf_dir):
+    at = scratch(spark)
+    lines = table(spark, sf_dir, "documents").select(F.explode(F.array("source", F.lit(""), F.concat(F.lit(" "), "source", F.lit("　")))).alias("value")).where("value is not null")
+    sinks.write_single(lines, f"{at}/terms.txt", "text")
+    return readers.read_terms(spark, f"{at}/terms.txt", needed=True)
+
+
+# the first row of a key over all batches
+@query("SELECT source, min(doc_id) AS doc_id FROM documents GROUP BY source")
+def stream_first_rows(spark, sf_dir):
+    at = scratch(spark)
+    schema = "doc_id long, source string"
+    ingest(spark, f"{sf_dir}/documents.parque[t]", schema, f"{at}/out", f"{at}/state", key="source", order=("doc_id",)).awaitTermination()
+    return spark.read.parquet(f"{at}/out").drop("_batch")
+
+
 @query(rf"SELECT page_id, url, {_first_element('title')} AS title FROM pages")
 def stream_ingest(spark, sf_dir):
     at = scratch(spark)

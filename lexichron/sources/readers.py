@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .sinks import CSV
+from .places import with_places
+from .shared import cut
+from .sinks import CORPUS, CSV
 
 KWIC = "source string, year string, kwic string, text string, `L-context` string, keyword string, `R-context` string"
 CORPUS_ENTRY = "_id string, source string, year string, context struct<L: string, keyword: string, R: string>"
@@ -38,23 +40,25 @@ def required(spark: SparkSession, path: str) -> str:
     return path
 
 
-def concordance_paths(directory: str, keyword: str, start_year: int, end_year: int) -> list[str]:
-    return [f"{directory}/bcc_corpus_{keyword}_{y}.txt" for y in range(int(start_year), int(end_year) + 1)]
+def concordance_paths(directory: str, keyword: str, start_year: int, end_year: int, prefix: str = CORPUS) -> list[str]:
+    return [f"{directory}/{prefix}_{keyword}_{y}.txt" for y in range(int(start_year), int(end_year) + 1)]
 
 
-def read_concordance(spark: SparkSession, directory: str, keyword: str, start_year: int, end_year: int) -> DataFrame:
-    """(content, file, line): the lines of every year's file, both years included; a missing file is warned of and skipped. Lines
-    are numbered within their file, and a byte order mark and blank ends of a file are dropped."""
+def read_concordance(spark: SparkSession, directory: str, keyword: str, start_year: int, end_year: int, prefix: str = CORPUS) -> DataFrame:
+    """(content, file, line): the lines of every year's file, both years included; a missing file is warned of and skipped. Files are
+    read in splits, however long they are; lines are numbered from 0 within their file, blank ones are dropped, and so is a byte order mark."""
     there = []
-    for p in concordance_paths(directory, keyword, start_year, end_year):
+    for p in concordance_paths(directory, keyword, start_year, end_year, prefix):
         if exists(spark, p):
             there.append(p)
         else:
             warnings.warn(f"no file {p}", stacklevel=2)
     if not there:
         return spark.createDataFrame([], "content string, file string, line long")
-    whole = spark.read.text(there, wholetext=True).select(T.trim(F.regexp_replace("value", "^﻿", "")).alias("body"), F.input_file_name().alias("file"))
-    return whole.select("file", F.posexplode(F.split("body", "\r\n|\n|\r")).alias("line", "content")).where("content <> ''").select("content", "file", F.col("line").cast("long").alias("line"))
+    lines = spark.read.text(there).select(F.regexp_replace("value", "^\ufeff", "").alias("content"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    # what a task numbers is fixed before it is sorted
+    numbered = with_places(cut(lines), "line", "block", "n", group="file")
+    return numbered.where(T.trim("content") != "").select("content", "file", (F.col("line") - 1).alias("line"))
 
 
 def read_csv(spark: SparkSession, path: str, schema: str = KWIC) -> DataFrame:
@@ -85,6 +89,13 @@ def read_terms(spark: SparkSession, path: str | None, needed: bool = False) -> D
     return spark.read.text(path).select(T.trim(F.regexp_replace("value", "^﻿", "")).alias("term")).where("term <> ''").distinct()
 
 
+def read_characters(spark: SparkSession, path: str) -> dict[str, str]:
+    """A table of characters, one a line: the character, white space, what takes its place (of several the first). Lines of another shape are passed over."""
+    c = F.split(T.trim(F.regexp_replace("value", "^\ufeff", "")), r"\s+")
+    rows = spark.read.text(required(spark, path)).select(c.alias("c")).where("size(c) >= 2 and length(c[0]) = 1 and length(c[1]) = 1").select(F.col("c")[0].alias("k"), F.col("c")[1].alias("v"))
+    return {r.k: r.v for r in rows.groupBy("k").agg(F.min("v").alias("v")).orderBy("k").collect()}
+
+
 def derived_names(path: str) -> tuple[str, str]:
     """Names for the parsed CSV and XML of a raw CSV."""
     out = path.replace("corpusraw", "corpusdata")

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import base64
+import urllib.parse
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import unused
+
+#: What the names of corpus and result files begin with, unless another is given.
+CORPUS, RESULT = "bcc_corpus", "bcc"
 BOM = b"\xef\xbb\xbf"
 #: Text comes back as it was, blank ends and all; an empty string comes back as null.
 CSV = {"header": "true", "escape": '"', "nullValue": "", "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
@@ -23,18 +32,48 @@ def write_single(df: DataFrame, path: str, form: str = "csv", bom: bool = True,
     w = df.coalesce(1).write.mode("overwrite").options(**(CSV if form == "csv" else {}) | options)
     w.format(form).save(draft)
     jvm = spark.sparkContext._jvm
-    p, to = jvm.org.apache.hadoop.fs.Path(draft), jvm.org.apache.hadoop.fs.Path(path)
+    p = jvm.org.apache.hadoop.fs.Path(draft)
     system = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    part = next(s.getPath() for s in system.listStatus(p) if s.getPath().getName().startswith("part-"))
-    out = system.create(to, True)
-    if bom:
-        out.write(bytearray(BOM))
-    source = system.open(part)
-    jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 16, True)
+    _gather(spark, system, p, path, bom)
     system.delete(p, True)
     return path
 
 
+def write_groups(df: DataFrame, folder: str, group: str, name: Callable[[str], str], form: str = "csv", bom: bool = True, order: tuple[str, ...] = (), **options: str) -> list[str]:
+    """A file for each group, named by `name` of its value, in one distributed job; the rows without the group's column, in the order if one is given. A null group has no file.
+
+    For groups of a size to open by hand: each is written by one task. The driver only moves files, one for each group."""
+    spark = df.sparkSession
+    draft = f"{folder}/.parts-{uuid.uuid4().hex}"
+    key = unused(df, "_group")
+    rows = df.where(F.col(group).isNotNull()).withColumn(key, F.base64(F.encode(F.col(group).cast("string"), "UTF-8"))).drop(group)
+    # one more column to write by, safe in a path
+    rows = rows.repartition(key).sortWithinPartitions(key, *order)
+    # text has one column, so what only orders it goes
+    rows = rows.select(key, "value") if form == "text" else rows
+    rows.write.options(**(CSV if form == "csv" else {}) | options).partitionBy(key).format(form).save(draft)
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(draft)
+    system, out = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), []
+    for d in system.listStatus(root):
+        if d.isDirectory():
+            value = base64.b64decode(urllib.parse.unquote(d.getPath().getName().partition("=")[2])).decode()
+            out.append(f"{folder}/{name(value)}")
+            _gather(spark, system, d.getPath(), out[-1], bom)
+    system.delete(root, True)
+    return sorted(out)
+
+
+def _gather(spark: SparkSession, system, parts, path: str, bom: bool) -> None:
+    """The one part of a folder as one file."""
+    jvm = spark.sparkContext._jvm
+    part = next(s.getPath() for s in system.listStatus(parts) if s.getPath().getName().startswith("part-"))
+    out = system.create(jvm.org.apache.hadoop.fs.Path(path), True)
+    if bom:
+        out.write(bytearray(BOM))
+    jvm.org.apache.hadoop.io.IOUtils.copyBytes(system.open(part), out, 1 << 16, True)
+
+
 def corpus_entries(kwic: DataFrame) -> DataFrame:
     """Parsed lines (with id) in the nested shape of a corpus entry; missing parts are empty elements."""
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
@@ -45,6 +84,12 @@ def write_corpus_xml(kwic: DataFrame, path: str) -> None:
     corpus_entries(kwic).write.mode("overwrite").option("rootTag", "corpus").option("rowTag", "entry").option("nullValue", "").format("xml").save(path)
 
 
+def write_free_xml(entries: DataFrame, path: str, root: str = "entries") -> None:
+    """(author, content); a missing part is an empty element."""
+    text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    entries.select(text("author"), text("content")).write.mode("overwrite").option("rootTag", root).option("rowTag", "entry").option("nullValue", "").format("xml").save(path)
+
+
 def write_article_xml(articles: DataFrame, path: str) -> None:
     nested = articles.withColumns({"authors": F.struct(F.col("authors").alias("author")), "keywords": F.struct(F.col("keywords").alias("keyword"))})
     nested.write.mode("overwrite").option("rootTag", "articles").option("rowTag", "article").format("xml").save(path)
@@ -56,9 +101,24 @@ def topic_lines(terms: DataFrame) -> DataFrame:
     return terms.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("position", pair.alias("p")))).alias("ps")).orderBy("topic").select(F.concat(F.lit("Topic "), F.col("topic").cast("string"), F.lit(": "), F.array_join("ps.p", ", ")).alias("value"))
 
 
-def result_name(kind: str, slug: str, year: str | None = None) -> str:
+def result_name(kind: str, slug: str, year: str | None = None, prefix: str = RESULT) -> str:
     """File names of ranked terms: by year, over all years, or of a free corpus."""
-    return {"year": f"bcc_{year}_{slug}_tfidf_norml1.csv", "all": f"bcc_{slug}_tfidf_norml1.csv", "free": f"{slug}_tfidf_norml1.csv", "proto": f"bcc_{year}_{slug}_tfidf.csv"}[kind]
+    return {"year": f"{prefix}_{year}_{slug}_tfidf_norml1.csv", "all": f"{prefix}_{slug}_tfidf_norml1.csv", "free": f"{slug}_tfidf_norml1.csv", "proto": f"{prefix}_{year}_{slug}_tfidf.csv"}[kind]
+
+
+def write_tfidf(result: DataFrame, folder: str, slug: str, group: str = "year", everything: str = "all", prefix: str = RESULT) -> list[str]:
+    """A ranked file for each group of a TF-IDF table and one for all groups together, each with a byte order mark."""
+    return write_groups(result, folder, group, lambda y: result_name("all" if y == everything else "year", slug, y, prefix), order=("rank",))
+
+
+def similarity_name(kind: str, slug: str, start: str, end: str, deviation: bool = False, prefix: str = RESULT) -> str:
+    return f"{prefix}_{start}-{end}_{slug}_similarity_{kind}{'_std' if deviation else ''}.csv"
+
+
+def topic_names(keyword: str, year: str) -> tuple[str, str]:
+    """File names of the topics' terms and of the documents' topics; year may be "all"."""
+    end = "" if year == "all" else f"_{year}"
+    return f"{keyword}_topic_terms_matrix{end}.txt", f"{keyword}_text_topic_matrix{end}.csv"
 
 
 def heat_map(matrix: DataFrame, path: str, title: str = "") -> str:

@@ -5,9 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexichron.operators import pages, similarity, topics, weights
-from lexichron.operators.ranks import with_places
 from lexichron.plans import registry
 from lexichron.sources import readers, sinks
+from lexichron.sources.places import with_places
 from lexichron.streaming.ingest import ingest
 
 DOCS = [(1, "x", "aa bb aa"), (2, "x", "aa cc"), (3, "y", "bb bb dd"), (4, "y", "")]
@@ -167,9 +167,27 @@ def test_articles(spark, tmp_path):
 
 
 def test_snippets(spark):
-    html = "".join(f'<div class="derivation">s{i}</div><div class="summary x">c {i}</div>' for i in range(7))
-    got = pages.snippets(spark.createDataFrame([(1, html)], "page_no long, html string")).collect()
-    assert [(r.source, r.content) for r in got] == [(f"s{i}", f"c {i}") for i in range(5)]
+    part = lambda c, t: f'<div class="{c}">{t}</div>'
+    # the second row lacks its summary, the third its source; the seventh is beyond the first five
+    cells = [part("derivation", f"s{i}") * (i != 2) + part("summary x", f"c {i}") * (i != 1) for i in range(7)]
+    for row in ("<tr><td><div>{}</div></td></tr>", "<tr><td><div>{}</div>"):
+        html = "<div class='derivation'>menu</div><table id='DataList'><tbody>" + "".join(map(row.format, cells)) + "</table>"
+        got = pages.snippets(spark.createDataFrame([(1, html), (2, None), (3, "<table id='DataList'></table>")], "page_no long, html string")).collect()
+        assert [(r.page_no, r.pos, r.source, r.content) for r in got] == [(1, i, f"s{i}", f"c {i}") for i in (0, 3, 4)]
+
+
+@pytest.mark.parametrize(("button", "more"), [("<a class='layui-laypage-next'>下一页</a>", True), ("<a class='layui-laypage-next layui-disabled'>下一页</a>", False), ("<a class='layui-laypage-next'>next</a>", False), ("<a>下一页</a>", False), ("", False)])
+def test_next_button(button, more):
+    assert pages.has_next(f"<div id='layui-laypage-0'><a>1</a>{button}</div>") is more and not pages.has_next(button)
+
+
+def test_stream_keeps_the_first_of_a_batch(spark, tmp_path):
+    rows = [(k, v) for k in range(20) for v in range(30, 0, -1)] + [(None, 2), (None, 1)]
+    spark.createDataFrame(rows, "k int, _n int").repartition(5).write.parquet(f"{tmp_path}/in")
+    for _ in range(2):
+        ingest(spark, f"{tmp_path}/in", "k int, _n int", f"{tmp_path}/out", f"{tmp_path}/state", key="k", order=("_n",), files_per_batch=2).awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert {r.k for r in got} == {None, *range(20)} and len(got) == 21
 
 
 def test_stream_keeps_first_of_key_over_batches(spark, tmp_path):

@@ -36,8 +36,3 @@ def test_against_sql(spark, duck, name):
 
 def test_entry(spark, duck):
     assert entry.entry(spark).count() > 0
-
-
-def test_topic_queries(spark, duck):
-    d = entry.queries()["lda_doc_topics"](spark, SF).toPandas()
-    assert len(d) == 200 and (d.filter(like="topic ").sum(axis=1) > 0.9).all()
