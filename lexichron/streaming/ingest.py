@@ -25,12 +25,12 @@ def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoin
         rows = transform(batch)
         s = batch.sparkSession
         if key:
-            n = unused(rows, "_n")
+            n, taken = unused(rows, "_n"), unused(rows, "_taken")
             by = Window.partitionBy(key).orderBy(*(order or sorted(c for c in rows.columns if c != key) or [key]))
             rows = rows.withColumn(n, F.row_number().over(by)).where(F.col(n) == 1).drop(n)
             if _exists(s, target):
                 before = s.read.schema(StructType([*rows.schema.fields, StructField("_batch", LongType())])).parquet(target).where(F.col("_batch") != number)
-                rows = rows.alias("r").join(before.select(F.col(key).alias("k")), F.col(f"r.`{key}`").eqNullSafe(F.col("k")), "left_anti").select(*rows.columns)
+                rows = rows.join(before.select(F.col(key).alias(taken)), F.col(key).eqNullSafe(F.col(taken)), "left_anti")
         w = rows.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file)
         w.parquet(f"{target}/_batch={number}")
 
