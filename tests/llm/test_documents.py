@@ -231,6 +231,63 @@ def test_trigram_counts_cover_all_texts(spark):
     assert got[1 * 784 + 2 * 28] == 80 and got[27 * 28 + 1] == 40
 
 
+def test_scores_equal_a_plain_version(toxic_corpus):
+    """Words, readings and features by hand; scores from the model's weights."""
+    _, model = toxic_corpus
+    rng = random.Random(29)
+    pool = ["idiot", "m0ron", "wo-rth", "c l o w n", "worthlesss", "clow", "moronic", "é", "the", "Idiot!", "1d1ot", "k", "ing3"]
+    texts = [" ".join(rng.choice(pool) if rng.random() < 0.2 else w for w in words(rng, 30)) for _ in range(80)] + ["", None, "idiot"]
+    number = {int(k): i for i, k in enumerate(model.keys)}
+
+    def hashes(text):
+        out = set()
+        for w in re.findall(r"[a-z0-9\x80-\U0010ffff]+", text):
+            raw = w.encode()
+            h = [vec.span_hash(vec.prefix(np.frombuffer(raw, np.uint8)), np.array([0]), np.array([len(raw)]))]
+            for n in toxicity.BEGINNINGS:
+                if len(raw) > n:
+                    h.append(vec.mix(vec.span_hash(vec.prefix(np.frombuffer(raw, np.uint8)), np.array([0]), np.array([n])), n))
+            out |= {int(x[0]) for x in h}
+        return out
+
+    lookup = vec.Lookup(model.keys, 16)
+    score, n, _ = toxicity.judge(pa.array(texts), model, lookup, {})
+    for i, t in enumerate(texts):
+        t = (t or "").lower()
+        b, off = vec.raw(pa.array([t]))
+        again = [toxicity.restore(b[x:y].tobytes().decode(), model.lm)[0] for x, y in zip(*toxicity.suspicious(b, off))]
+        have = {number[h] for s in [t, *again] for h in hashes(s) if h in number}
+        z = model.bias + sum(model.weights[j] for j in have)
+        want = max([1 / (1 + np.exp(-z)), *(model.alone[j] for j in have if model.alone[j] >= toxicity.ALONE)])
+        assert score[i] == pytest.approx(want, abs=1e-9) and n[i] == len(again)
+    assert (score >= toxicity.THRESHOLD).any() and (score < toxicity.THRESHOLD).any()
+
+
+def test_held_out_labels(spark):
+    """Fitted to half of the labels, judged on the other half."""
+    rng = random.Random(31)
+    bad = ["idiot", "moron", "worthless", "clown", "loser"]
+    rows, labels = [], []
+    for i in range(600):
+        w = words(rng, 50)
+        if i % 3 == 0:
+            for b in rng.sample(bad, 2):
+                w.insert(rng.randrange(50), b if rng.random() < 0.7 else b.replace("o", "0").replace("i", "1"))
+        rows.append((i, " ".join(w), "en", "s", 0))
+        labels.append((i, int(i % 3 == 0)))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = toxicity.fit(docs, spark.createDataFrame(labels[:300], "doc_id long, toxic int"))
+    got = {r.doc_id for r in toxicity.toxic_documents(docs.where("doc_id >= 300"), model).collect()}
+    assert len(got & set(range(300, 600, 3))) >= 98 and len(got - set(range(300, 600, 3))) <= 2
+
+
+def test_repeated_labelled_documents_count_once(spark):
+    docs = frame(spark, ["idiot moron"] * 50 + ["the eron"] * 3, ids=[1] * 50 + [2, 3, 4])
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (4, 0)], "doc_id long, toxic int")
+    assert len(toxicity.fit(docs, labels).keys) == 0  # one document is no evidence, however often it is there
+    assert len(toxicity.fit(docs, labels, 2).keys) == 0
+
+
 def test_toxicity_awkward(spark, awkward, toxic_corpus):
     _, model = toxic_corpus
     assert toxicity.toxic_documents(awkward, model).collect() == []

@@ -64,6 +64,32 @@ def test_stages_decide_as_they_should(spark, tables):
     assert sorted(map(tuple, corpus_pipeline.run(spark, at).collect())) == sorted(map(tuple, current.collect()))
 
 
+def test_stages_on_awkward_tables(spark, tables, tmp_path):
+    """Nulls in every column, empty, very long and repeated texts, clashing columns, a table without rows."""
+    at, docs = tables
+    long = docs.where("doc_id = 304").first().text
+    rows = [(None, None, None, None, None), (1000, None, "en", "s", 1), (1001, "", None, "s", None), (1002, "  ", "en", None, 2), (None, "a text without a number", "en", "s", 3), (1003, "the same row", "en", "s", 4), (1003, "the same row", "en", "s", 4), (1004, long + " eron", "en", "s", 5), (1005, "x", "en", "s", 1)]
+    odd = spark.createDataFrame(rows, docs.schema)
+    clash = "h0 score rule k rep group n slot length toxic item_id bin_id".split()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd.selectExpr("*", *(f"'x' as `{c}`" for c in clash)), at)
+        assert out.columns == docs.columns + clash, name
+        assert sorted(map(str, out.select(*docs.columns).collect())) == sorted(map(str, odd.collect())), name
+        assert stage(spark, docs.limit(0), at).collect() == [], name
+    laid = corpus_pipeline.STAGES[-1][1](spark, odd, at)
+    count = {}
+    for r in laid.where("piece = 0").collect():
+        count[r.doc_id] = count.get(r.doc_id, 0) + 1
+    assert count == {1002: 1, None: 1, 1003: 2, 1004: 1, 1005: 1}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), at).collect() == []
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{at}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}").collect() == []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, odd, f"{tmp_path}").count() == len(rows), name
+
+
 def test_the_rest_works_without_the_subpackage(tmp_path):
     for name in ("__spark_entry__.py", "lexichron"):
         subprocess.run(["cp", "-r", f"{ROOT}/{name}", str(tmp_path)], check=True)
