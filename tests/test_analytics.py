@@ -125,10 +125,51 @@ def test_places(spark, n):
 
 
 def test_topics_keep_every_term(spark):
-    # more terms than CountVectorizer takes unasked, each of them once
+    # more terms than would fit a customary limit, each of them once
     d = spark.range(0, 270, 1, 4).select(F.transform(F.sequence(F.col("id") * 1000, F.col("id") * 1000 + 999), lambda i: i.cast("string")).alias("tokens"))
-    assert len(set(topics.fit_topics(d, k=2, passes=1).counter.vocabulary)) == 270_000
-    assert len(topics.fit_topics(d.limit(1), k=2, passes=1, vocabulary=10).counter.vocabulary) == 10
+    m = topics.fit_topics(d, k=2, passes=1)
+    assert m.weights.shape == (270_000, 2) and m.vocabulary.select("term").distinct().count() == 270_000
+    assert topics.fit_topics(d.limit(1), k=2, passes=1, vocabulary=10).weights.shape == (10, 2)
+
+
+def test_inference_equals_a_plain_version():
+    rng = np.random.default_rng(2)
+    k, size = 4, np.array([3, 0, 5, 1])
+    beta, counts = rng.random((9, k)), rng.integers(1, 5, 9).astype(float)
+    gamma, add = topics.infer(np.arange(9), counts, size, beta, 0.25)
+    at = 0
+    for d, m in enumerate(size):
+        g = np.ones(k)
+        b, c = beta[at : at + m], counts[at : at + m]
+        for _ in range(topics.ROUNDS if m else 0):
+            e = np.exp(topics.digamma(g) - topics.digamma(g.sum()))
+            new = 0.25 + e * ((c / (b @ e))[:, None] * b).sum(0)
+            stop, g = np.abs(new - g).mean() < 1e-9, new
+            if stop:
+                break
+        assert gamma[d] == pytest.approx(g, abs=0.02)
+        if m:
+            e = np.exp(topics.digamma(gamma[d]) - topics.digamma(gamma[d].sum()))
+            assert add[at : at + m] == pytest.approx(e[None] * (c / (b @ e))[:, None])
+        at += m
+    assert topics.digamma(np.array([1.0, 0.5, 10.0])) == pytest.approx([-0.5772156649, -1.9635100260, 2.2517525890])
+
+
+def test_topics_find_what_is_there(spark, monkeypatch):
+    monkeypatch.setattr(topics, "CHUNK", 50)
+    rng = np.random.default_rng(3)
+    groups = [[f"{g}{i}" for i in range(30)] for g in "abc"]
+    rows = [(i, [str(w) for w in rng.choice(groups[i % 3], 40)]) for i in range(300)]
+    d = spark.createDataFrame(rows, "id int, tokens array<string>")
+    for few in (32, 0):  # sums added by the driver, or by term first
+        monkeypatch.setattr(topics, "FEW_TASKS", few)
+        m = topics.fit_topics(d, k=3, passes=5)
+        lead = {}
+        for r in m.terms(10).collect():
+            lead.setdefault(r.topic, set()).add(r.term[0])
+        assert sorted(map(len, lead.values())) == [1, 1, 1] and len(set().union(*lead.values())) == 3
+        got = m.documents(d).collect()
+        assert all(max(r.topics) > 0.9 and "abc"[r.id % 3] in lead[int(np.argmax(r.topics))] for r in got)
 
 
 def test_topic_queries_fit_as_the_reference_does(spark, monkeypatch):
