@@ -90,8 +90,8 @@ def read_terms(spark: SparkSession, path: str | None, needed: bool = False) -> D
 
 
 def read_characters(spark: SparkSession, path: str) -> dict[str, str]:
-    """A table of characters, one a line: the character, white space, what takes its place (of several the first). Lines of another shape are passed over."""
-    c = F.split(T.trim(F.regexp_replace("value", "^\ufeff", "")), r"\s+")
+    """A table of characters, one a line: the character, white space, what takes its place (of several the least). Lines of another shape are passed over."""
+    c = F.split(T.trim(F.regexp_replace("value", "^\ufeff", "")), r"(?U)\s+")
     rows = spark.read.text(required(spark, path)).select(c.alias("c")).where("size(c) >= 2 and length(c[0]) = 1 and length(c[1]) = 1").select(F.col("c")[0].alias("k"), F.col("c")[1].alias("v"))
     return {r.k: r.v for r in rows.groupBy("k").agg(F.min("v").alias("v")).orderBy("k").collect()}
 

@@ -2,8 +2,10 @@ import warnings
 
 import pytest
 
-from lexichron.operators import kwic
+from lexichron.functions import text as T
+from lexichron.operators import kwic, tokens
 from lexichron.operators.tokens import Tokenizer, combine, explode_tokens, retokenized, without_stop_words
+from lexichron.plans import progress
 from lexichron.sources import readers, sinks
 
 LINES = [
@@ -101,3 +103,59 @@ def test_stop_words_and_retokenizing(spark):
     assert sorted(r.term for r in without_stop_words(t, spark.createDataFrame([("at",)], "term string")).collect()) == ["cat", "mat"]
     a = spark.createDataFrame([(["AT&T", "x-ray", "a"],)], "t array<string>")
     assert a.select(retokenized("t").alias("t")).first().t == ["at", "ray"]
+
+
+def test_character_table(spark, tmp_path):
+    (tmp_path / "t2s.txt").write_text("\ufeff國 国\n會\t会 more\n\nlong line\n臺\n憲　宪\n國 X\n")
+    table = readers.read_characters(spark, str(tmp_path / "t2s.txt"))
+    assert table == {"國": "X", "會": "会", "憲": "宪"}
+    df = spark.createDataFrame([("國會憲x",)], "t string")
+    assert df.select(T.simplify("t", table | {"國": "国"}).alias("t")).first().t == "国会宪x"
+
+
+def test_tokenizer_from_files(spark, tmp_path, monkeypatch):
+    (tmp_path / "stop.txt").write_text("a1\nb1\n")
+    stop = str(tmp_path / "stop.txt")
+    assert Tokenizer.from_files(spark, stop, str(tmp_path / "none.txt")).stop == {"a1", "b1"}
+    assert Tokenizer.from_files(spark, stop, use_stopwords=False) == Tokenizer()
+    monkeypatch.setattr(tokens, "MOST_TERMS", 1)
+    with pytest.raises(ValueError):
+        Tokenizer.from_files(spark, stop)
+
+
+def test_a_file_for_each_group(spark, tmp_path):
+    df = spark.createDataFrame([("x/y =1", 2, "b"), ("x/y =1", 1, "a"), ("é", 1, 'c "q"'), (None, 1, "d")], "g string, rank int, term string")
+    names = {"x/y =1": "one.csv", "é": "two.csv"}
+    out = sinks.write_groups(df, f"file://{tmp_path}/o", "g", names.get, order=("rank",))
+    assert out == [f"file://{tmp_path}/o/one.csv", f"file://{tmp_path}/o/two.csv"] and sorted(x.name for x in (tmp_path / "o").iterdir() if not x.name.endswith(".crc")) == ["one.csv", "two.csv"]
+    assert (tmp_path / "o" / "one.csv").read_bytes() == b"\xef\xbb\xbfrank,term\n1,a\n2,b\n"
+    assert (tmp_path / "o" / "two.csv").read_bytes() == b'\xef\xbb\xbfrank,term\n1,"c ""q"""\n'
+    assert sinks.write_groups(df.limit(0), f"file://{tmp_path}/e", "g", names.get) == []
+    assert sinks.similarity_name("count", "k", "1900", "1910", True) == "bcc_1900-1910_k_similarity_count_std.csv"
+    assert sinks.topic_names("k", "all") == ("k_topic_terms_matrix.txt", "k_text_topic_matrix.csv") and sinks.topic_names("k", "1900")[1] == "k_text_topic_matrix_1900.csv"
+
+
+def test_long_concordances_are_read_in_splits(spark, tmp_path):
+    lines = [f"line {i} {'x' * (i % 50)}" if i % 7 else "" for i in range(3000)]
+    (tmp_path / "own_k_1900.txt").write_text("\n".join(lines))
+    (tmp_path / "own_k_1901.txt").write_text("\ufeffother\r\n \r\nlast\r\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        got = readers.read_concordance(spark, f"file://{tmp_path}", "k", 1900, 1901, prefix="own").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    by = {y: {r.line: r.content for r in got if r.file.endswith(f"{y}.txt")} for y in (1900, 1901)}
+    assert by[1900] == {i: x for i, x in enumerate(lines) if x} and by[1901] == {0: "other", 2: "last"}
+
+
+def test_progress(caplog):
+    times = {}
+    with caplog.at_level("INFO", "lexichron"), pytest.raises(KeyError), progress.timed("a step", times):
+        raise KeyError
+    progress.empty("k in 1900")
+    assert times["a step"] >= 0 and "a step took" in caplog.text and "no data for k in 1900" in caplog.text
+
+
+def test_helper_columns_do_not_clash(spark):
+    df = spark.createDataFrame([("<B>s 1900</B>a <U>k</U> b", 1, 2, 3)], "content string, _body int, _n int, _k int")
+    assert kwic.entry_ids(kwic.parse_kwic(df, keep=("_body", "_n")), "_n").first().asDict().items() >= {"_body": 1, "_n": 2, "id": "1900_1", "L-context": "a "}.items()
