@@ -57,4 +57,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_licenses": license_scan.sql(), "op6_warc": warczip.SQL, "op7_secrets": secrets.sql(), "op9_topk": topk.sql()}
+    return {"op3_licenses": license_scan.sql(), "op6_warc": warczip.SQL, "op7_secrets": secrets.sql(), "op9_topk": topk.sql(), "op10_substring": substring.sql()}

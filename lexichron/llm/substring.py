@@ -281,3 +281,17 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     found = texts.groupBy("bucket").cogroup(hits.groupBy("bucket")).applyInArrow(extend, PACKED)
     whole = found.groupBy("bucket").applyInArrow(repeats, PACKED)
     return whole.groupBy("bucket").applyInArrow(join, "doc_id long, start_char long, end_char long")
+
+
+def sql() -> str:
+    word = r"[0-9a-z_\x{80}-\x{10ffff}]+"
+    return f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '{word}') AS ws, regexp_split_to_array(lower(text), '{word}') AS ps FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+u AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS w, unnest(ps[1:len(ws)]) AS p FROM d WHERE len(ws) >= {LEAST}),
+c AS (SELECT doc_id, i, w, CAST(sum(length(p) + length(w)) OVER o AS BIGINT) AS e FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT doc_id, e - length(w) AS s, lead(e, {LEAST - 1}) OVER (PARTITION BY doc_id ORDER BY i) AS e, string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {LEAST - 1} FOLLOWING) AS k FROM c),
+h AS (SELECT k FROM g WHERE e IS NOT NULL GROUP BY k HAVING min(doc_id) <> max(doc_id)),
+x AS (SELECT doc_id, s, e FROM g JOIN h USING (k) WHERE e IS NOT NULL),
+y AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM x),
+z AS (SELECT *, sum(CASE WHEN m IS NULL OR s > m THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS j FROM y)
+SELECT doc_id, min(s) AS start_char, max(e) AS end_char FROM z GROUP BY doc_id, j"""
