@@ -310,7 +310,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(at.astype(np.int32), pa.array((u % (len(keys) + 1)).astype(np.int32))), part.column(2)], names=["f", "toxic"])
 
     x, y = [], []
-    for r in sample.mapInArrow(present, "f array<int>, toxic int").toLocalIterator():
+    # at most `rows` short lists
+    for r in sample.mapInArrow(present, "f array<int>, toxic int").collect():
         x.append(r.f)
         y.append(r.toxic)
     w, bias = logistic(x, np.array(y, float), len(keys))
