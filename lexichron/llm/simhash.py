@@ -1,15 +1,17 @@
-"""SimHash near-duplicates by exact, tiled comparison of all fingerprints.
+"""SimHash near-duplicates by an exact search of all pairs of fingerprints.
 
 A fingerprint has 256 bits in four words. Two documents match if the first words differ in at most RADIUS bits and all
-four in at most TOTAL. Fingerprints are laid out by their bit counts; two tiles whose bit counts differ by more than the
-radius hold no match and are skipped, all others are compared with exclusive-or and bit counts in numpy."""
+four in at most TOTAL. The bits are cut into parts, of which one at least differs in no more than its share of TOTAL; over each part
+lie masks of which one at least leaves out whichever so few bits differ (covering codes, Pagh 2016). So two that match are alike
+under some mask: fingerprints are sorted under each mask in turn, and those alike are compared in full. Few or closely alike
+fingerprints, for which this takes longer, are compared pair by pair in tiles."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -19,8 +21,14 @@ from . import vec
 from .common import components, cut
 
 RADIUS, TOTAL = 16, 48
-#: Rows of a block; a pair of blocks is one unit of work for a task.
-BLOCK_ROWS, LEAST_BLOCKS = 1 << 19, 12
+#: Rows of a block at most; two blocks are searched together, in UNITS shares at least, and one share for each UNIT_ROWS of them.
+BLOCK_ROWS, UNITS, UNIT_ROWS = 1 << 21, 12, 1 << 20
+#: Partitions of units at most.
+PARTITIONS = 1024
+#: Costs of a row under a mask, of a mask, and of a pair alike under a mask, in comparisons of a pair in tiles.
+ROW_COST, MASK_COST, PAIR_COST = 5, 50_000, 15
+#: Most bits that a part may differ in, about so many fingerprints from which pairs alike are estimated, and rows handled at a time, which fit in a core's cache.
+MOST_BITS, SAMPLE, STRETCH = 14, 1500, 1 << 15
 #: Rows and columns of a tile: its exclusive-ors fit in a core's cache.
 TILE, WIDE = 128, 1024
 #: Words of weight 8 at most whose counters fit in a byte.
@@ -142,43 +150,193 @@ def compare(ida: np.ndarray, ha: np.ndarray, idb: np.ndarray, hb: np.ndarray, sa
     return forest(np.concatenate(out_a), np.concatenate(out_b))
 
 
+@cache
+def covering(width: int, bits: int, seed: int) -> np.ndarray:
+    """2^(bits + 1) - 1 masks over this many bits (64 at most): whichever `bits` of them differ, one mask leaves them all out.
+
+    Each bit has a vector of bits + 1 bits, each mask another, and keeps the bits whose vectors have an odd product with its own. The vectors of `bits` bits
+    don't span the space, so a mask's is orthogonal to them all. Of some drawn at random, those count under whose masks the fewest pairs are alike by chance."""
+    rng = np.random.default_rng(seed)
+    own = np.arange(1, 1 << (bits + 1), dtype=np.uint64)[:, None]
+    least, masks = np.inf, own[:, 0]
+    for _ in range(60):
+        kept = np.bitwise_count(own & rng.integers(1, 1 << (bits + 1), width).astype(np.uint64)) & 1
+        if (alike := np.exp2(-kept.sum(1, dtype=float)).sum()) < least:
+            least, masks = alike, np.left_shift(kept.astype(np.uint64), np.arange(width, dtype=np.uint64)).sum(1, dtype=np.uint64)
+    return masks
+
+
+def cuts(parts: int, total: int) -> list[tuple[int, int, int]]:
+    """(begin, end, bits) of parts of the 256 bits: if at most `total` bits differ, some part differs in at most its own number, as these and one for each part add up to total + 1."""
+    spare = total + 1 - parts
+    return [(256 * p // parts, 256 * (p + 1) // parts, spare * (p + 1) // parts - spare * p // parts) for p in range(parts)]
+
+
+def plan(n: int, sample: np.ndarray, total: int = TOTAL) -> list[tuple[int, int, np.ndarray]]:
+    """(begin, end, masks) of each part, in the number of parts that costs least for n fingerprints at the distances found in the sample, (m, 4); none where tiles cost less."""
+    hist = np.zeros(257)
+    for i in range(0, len(sample), TILE):
+        d = np.bitwise_count(sample[i : i + TILE, None] ^ sample[None]).sum(2, dtype=np.int16)
+        hist += np.bincount(d.ravel(), minlength=257)
+    hist[: total + 1] = 0
+    share = 1 - np.arange(257) / 256
+    best, least = [], n * n / 2
+    for parts in range(4, min(32, total + 1) + 1):
+        own = cuts(parts, total)
+        if max(r for _, _, r in own) > MOST_BITS:
+            continue
+        masks = sum((2 << r) - 1 for _, _, r in own)
+        # a mask keeps about half of its part's bits
+        alike = sum((2 << r) * (hist * share ** ((e - b) / 2)).sum() for b, e, r in own) / max(1, len(sample) ** 2)
+        cost = masks * (ROW_COST * n + MASK_COST) + alike * n * n / 2 * PAIR_COST
+        if cost < least:
+            best, least = own, cost
+    return [(b, e, covering(e - b, r, k)) for k, (b, e, r) in enumerate(best)]
+
+
+def search(h: list[np.ndarray], parts: list[tuple[int, int, np.ndarray]], share: int, shares: int, radius: int = RADIUS, total: int = TOTAL) -> tuple[np.ndarray, np.ndarray]:
+    """The edges, by place, of a spanning forest of those matches among fingerprints (four arrays) that are alike under every shares-th mask from this share on."""
+    n = len(h[0])
+    low = np.uint64((1 << max(1, (n - 1).bit_length())) - 1)
+    key, x = np.empty(n, np.uint64), np.empty(n, np.uint64)
+    place, work = np.arange(min(n, STRETCH), dtype=np.uint64), np.empty(min(n, STRETCH), np.uint64)
+    stretches = [slice(i, min(n, i + STRETCH)) for i in range(0, n, STRETCH)]
+    label = np.arange(n, dtype=np.int32)
+    out_a, out_b, new = [], [], 0
+
+    def pair(at: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+        return (key[at] & low).view(np.int64), (key[at + gap] & low).view(np.int64)
+
+    def test(at: np.ndarray, gap: int) -> np.ndarray:
+        """Which of the pairs of keys (at, at + gap) are not yet known to be connected; those that match are noted."""
+        nonlocal new
+        a, b = pair(at, gap)
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+        d = np.bitwise_count(h[0][a] ^ h[0][b])
+        ok = d <= radius
+        a, b, d = a[ok], b[ok], d[ok].astype(np.int16)
+        for w in h[1:]:
+            d += np.bitwise_count(w[a] ^ w[b])
+        ok = d <= total
+        if ok.any():
+            out_a.append(a[ok])
+            out_b.append(b[ok])
+            new += len(out_a[-1])
+        return apart
+
+    def connect() -> None:
+        nonlocal label, new
+        if new:
+            a, b = forest(label[np.concatenate(out_a)], label[np.concatenate(out_b)])
+            to = np.arange(n, dtype=np.int32)
+            to[a] = b
+            label = to[label]
+            out_a.clear()
+            out_b.clear()
+            new = 0
+
+    for begin, end, masks in parts:
+        w, s = divmod(begin, 64)
+        np.right_shift(h[w], np.uint64(s), out=x)
+        if end > 64 * (w + 1):
+            for i in stretches:
+                x[i] |= h[w + 1][i] << np.uint64(64 - s)
+        for mask in masks[share::shares]:
+            for i in stretches:
+                # hashes in the upper bits, places in the lower; hashes that clash only add pairs to compare
+                k = np.bitwise_and(x[i], mask, out=key[i])
+                k *= np.uint64(0x9E3779B97F4A7C15)
+                k &= ~low
+                k |= np.add(place[: len(k)], np.uint64(i.start), out=work[: len(k)])
+            key.sort()
+            at = []
+            for i in stretches:
+                k = key[i.start + 1 : i.stop + 1]
+                at.append(np.flatnonzero(np.bitwise_xor(k, key[i.start : i.start + len(k)], out=work[: len(k)]) <= low) + i.start)
+            at = np.concatenate(at)
+            if not len(at):
+                continue
+            apart = np.concatenate([test(at[i : i + STRETCH], 1) for i in range(0, len(at), STRETCH)])
+            if new > max(256, n >> 10):
+                connect()
+                a, b = pair(at, 1)
+                apart = label[a] != label[b]
+            # a run of equal keys all of one component holds nothing new; of any other all pairs are compared
+            run = np.cumsum(np.diff(at, prepend=-2) != 1) - 1
+            mixed = np.zeros(run[-1] + 1, bool)
+            mixed[run[apart]] = True
+            at, gap = at[mixed[run]], 2
+            while len(at := at[: np.searchsorted(at, n - gap)]) and len(at := at[(key[at] ^ key[at + gap]) <= low]):
+                for i in range(0, len(at), STRETCH):
+                    test(at[i : i + STRETCH], gap)
+                    if new > max(1 << 16, n >> 6):
+                        connect()
+                gap += 1
+    connect()
+    a = np.flatnonzero(label != np.arange(n))
+    return a, label[a].astype(np.int64)
+
+
+def tiles(ids: np.ndarray, h: np.ndarray, share: int, shares: int, radius: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for this share of all pairs: every shares-th row with itself and with half of the other such sets, in a circle."""
+    own = slice(share, None, shares)
+    found = [compare(ids[own], h[own], ids[own], h[own], True, radius, total)]
+    for step in range(1, shares // 2 + 1):
+        if 2 * step < shares or share < step:
+            other = slice((share + step) % shares, None, shares)
+            found.append(compare(ids[own], h[own], ids[other], h[other], False, radius, total))
+    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+
+
 def edges(prints: DataFrame, radius: int = RADIUS, total: int = TOTAL) -> DataFrame:
     """(a, b): for each component of the match graph over (doc_id, h0..h3), edges that connect it."""
-    pop = F.bit_count("h0")
-    # 65 numbers: how many fingerprints have each bit count
-    hist = dict(prints.groupBy(pop.alias("p")).count().collect())
-    n = sum(hist.values())
-    blocks = max(LEAST_BLOCKS, -(-n // BLOCK_ROWS)) if n > WIDE else 1
-    before, at = {}, 0
-    for p in range(65):
-        before[p] = at
-        at += hist.get(p, 0)
+    n = prints.count()
     if not n:
         return prints.sparkSession.createDataFrame([], "a long, b long")
-    # place in the order of bit counts, spread evenly within one bit count by the bits of the second word
-    first = F.element_at(F.array(*[F.lit(float(before[p])) for p in range(65)]), pop + 1)
-    width = F.element_at(F.array(*[F.lit(float(hist.get(p, 0))) for p in range(65)]), pop + 1)
-    place = (first + width * (F.shiftrightunsigned("h1", 11).cast("double") / float(1 << 53))) / n * blocks
-    ranges = []
-    for k in range(blocks):
-        lo, hi = k * n / blocks, (k + 1) * n / blocks
-        own = [p for p in range(65) if hist.get(p) and before[p] <= hi and before[p] + hist[p] >= lo]
-        ranges.append((min(own), max(own)))
-    # bit counts rise from block to block, so a block's partners are neighbours; one row a block
-    ends = [max(j for j in range(k, blocks) if ranges[j][0] - ranges[k][1] <= radius) for k in range(blocks)]
-    begins = [min(i for i in range(k + 1) if ends[i] >= k) for k in range(blocks)]
-    partners = F.broadcast(prints.sparkSession.createDataFrame([(k, begins[k], ends[k]) for k in range(blocks)], "k int, begin int, end int"))
-    laid = prints.withColumn("k", F.least(place.cast("int"), F.lit(blocks - 1))).join(partners, "k")
-    pairs = laid.withColumn("j", F.explode(F.sequence("begin", "end"))).select((F.least("k", "j").cast("long") * blocks + F.greatest("k", "j")).alias("pair"), "k", "doc_id", *WORDS)
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = divmod(int(key[0]), blocks)
-        h = np.ascontiguousarray(pdf[list(WORDS)].to_numpy(np.int64)).view(np.uint64)
-        ids, k = pdf["doc_id"].to_numpy(np.int64), pdf["k"].to_numpy()
-        a, b = compare(ids[k == i], h[k == i], ids[k == j], h[k == j], i == j, radius, total)
-        return pd.DataFrame({"a": a, "b": b})
-
-    return pairs.groupBy("pair").applyInPandas(run, "a long, b long")
+    blocks = -(-n // BLOCK_ROWS)
+    # two blocks are searched as one; one alone is a pair by itself
+    pairs, rows = max(1, blocks * (blocks - 1) // 2), -(-n * min(2, blocks) // blocks)
+    shares = max(-(-UNITS // pairs), -(-rows // UNIT_ROWS)) if rows > WIDE else 1
+    near = F.xxhash64(*WORDS)
+    sample = prints.where(F.pmod(near, F.lit(-(-n // SAMPLE))) == 0).select(*WORDS).collect()
+    parts = plan(rows, np.array(sample, np.int64).reshape(-1, 4).view(np.uint64), total)
+    laid = prints.withColumn("k", F.pmod(F.shiftright(near, 32), F.lit(blocks))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    first = F.expr(f"(greatest(j, k) * (greatest(j, k) - 1) div 2 + least(j, k)) * {shares}")
+    units = laid.where("j <> k" if blocks > 1 else "true").select(F.explode(F.sequence(first, first + (shares - 1))).alias("unit"), "doc_id", *WORDS)
+    units = units.repartitionById(min(PARTITIONS, pairs * shares), F.pmod("unit", F.lit(PARTITIONS)).cast("int"))
+    if pairs * shares > PARTITIONS:
+        units = units.sortWithinPartitions("unit")
+
+    def matches(unit: int, held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        cols = []
+        for x in held:
+            cols.append(np.concatenate(x))
+            x.clear()
+        ids, h = cols[0], [x.view(np.uint64) for x in cols[1:]]
+        if parts:
+            a, b = (ids[x] for x in search(h, parts, unit % shares, shares, radius, total))
+        else:
+            a, b = tiles(ids, np.stack(h, 1), unit % shares, shares, radius, total)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in forest(a, b)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, [[] for _ in range(5)]
+        for batch in batches:
+            unit = batch.column(0).to_numpy()
+            at = [0, *(np.flatnonzero(np.diff(unit)) + 1), len(unit)]
+            for i, j in zip(at, at[1:]):
+                if i == j:
+                    continue
+                if last not in (None, unit[i]):
+                    yield matches(int(last), held)
+                last = unit[i]
+                for x, col in zip(held, batch.columns[1:]):
+                    x.append(col.slice(i, j - i).to_numpy().copy())
+        if last is not None:
+            yield matches(int(last), held)
+
+    return units.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, total: int = TOTAL) -> DataFrame:

@@ -112,6 +112,77 @@ def test_simhash_over_many_blocks(spark, monkeypatch):
     assert {*zip(*map(np.ndarray.tolist, simhash.forest(a, b)))} == {*zip(*map(np.ndarray.tolist, simhash.forest(got[:, 0], got[:, 1])))} and len(a) >= 200
 
 
+def close_prints(rng, n):
+    """Random fingerprints, with pairs at and just beyond both limits, chains, and a cluster of a hundred."""
+    h = rng.integers(-(2**63), 2**63, (n, 4)).view(np.uint64)
+
+    def flip(x, counts):
+        for w, c in enumerate(counts):
+            for bit in rng.choice(64, c, replace=False):
+                x[w] ^= np.uint64(1 << int(bit))
+
+    for i, counts in enumerate([(16, 11, 11, 10), (0, 0, 0, 48), (12, 12, 12, 12), (16, 0, 32, 0), (0, 48, 0, 0), (17, 0, 0, 0), (16, 11, 11, 11), (0, 0, 0, 49)] * 20):
+        h[200 + i] = h[i]
+        flip(h[200 + i], counts)
+    for i in range(400, 500):
+        h[i] = h[399] if i < 450 else h[i - 1]
+        flip(h[i], (3, 3, 3, 3) if i < 450 else (9, 9, 9, 9))
+    return h
+
+
+def brute(h):
+    a = [np.nonzero(((d := np.bitwise_count(h[i] ^ h[i + 1 :]))[:, 0] <= simhash.RADIUS) & (d.sum(1, dtype=int) <= simhash.TOTAL))[0] + i + 1 for i in range(len(h))]
+    return {*zip(*map(np.ndarray.tolist, simhash.forest(np.repeat(np.arange(len(h)), [*map(len, a)]), np.concatenate(a))))}
+
+
+def parts_of(k):
+    return [(b, e, simhash.covering(e - b, r, i)) for i, (b, e, r) in enumerate(simhash.cuts(k, simhash.TOTAL))]
+
+
+def test_masks_leave_out_whichever_bits_differ():
+    rng = np.random.default_rng(2)
+    for k in (4, 5, 6, 8):
+        found = simhash.cuts(k, simhash.TOTAL)
+        assert sum(r + 1 for *_, r in found) == simhash.TOTAL + 1 and [b for b, *_ in found] + [256] == [0] + [e for _, e, _ in found]
+        for (b, e, r), (*_, masks) in zip(found, parts_of(k)):
+            for _ in range(100):
+                differ = np.uint64(sum(1 << int(x) for x in rng.choice(e - b, r, replace=False)))
+                assert len(masks) == (2 << r) - 1 and (masks & differ == 0).any()
+
+
+def test_simhash_search_equals_brute_force():
+    h = close_prints(np.random.default_rng(4), 6000)
+    words_of, want = [np.ascontiguousarray(h[:, k]) for k in range(4)], brute(h)
+    for k in (4, 5, 6, 8):
+        got = simhash.forest(*map(np.concatenate, zip(*(simhash.search(words_of, parts_of(k), s, 3) for s in range(3)))))
+        assert {*zip(*map(np.ndarray.tolist, got))} == want and len(want) >= 180
+    for shares in (1, 2, 3, 4):
+        got = simhash.forest(*map(np.concatenate, zip(*(simhash.tiles(np.arange(6000), h, s, shares, simhash.RADIUS, simhash.TOTAL) for s in range(shares)))))
+        assert {*zip(*map(np.ndarray.tolist, got))} == want
+
+
+def test_simhash_compares_few_pairs_of_many(monkeypatch):
+    h = close_prints(np.random.default_rng(5), 30_000)
+    parts, count, real = simhash.plan(3_000_000, h[1000:2500]), [], np.bitwise_count
+    assert parts and not simhash.plan(1000, h[1000:2500])
+    same = np.repeat(h[:1], 1500, 0) ^ (np.uint64(1) << np.random.default_rng(6).integers(0, 64, (1500, 4)).astype(np.uint64)) ^ np.uint64(0x1111)
+    assert simhash.plan(3_000_000, same)  # all alike: known to be connected at once, so no pairs to compare
+    monkeypatch.setattr(simhash.np, "bitwise_count", lambda x, **k: (count.append(x.size), real(x, **k))[1])
+    simhash.search([np.ascontiguousarray(h[:, k]) for k in range(4)], parts, 0, 1)
+    assert 0 < sum(count) < 30_000**2 / 2 / 50
+
+
+def test_simhash_edges_by_masks_over_blocks(spark, monkeypatch):
+    h = close_prints(np.random.default_rng(7), 3000)
+    df = spark.createDataFrame([(i, *map(int, x)) for i, x in enumerate(h.view(np.int64))], "doc_id long, h0 long, h1 long, h2 long, h3 long").cache()
+    monkeypatch.setattr(simhash, "plan", lambda *_: parts_of(8))
+    for rows, partitions in ((1 << 21, 12), (1000, 3)):
+        monkeypatch.setattr(simhash, "BLOCK_ROWS", rows)
+        monkeypatch.setattr(simhash, "PARTITIONS", partitions)
+        got = np.array([tuple(r) for r in simhash.edges(df).collect()])
+        assert {*zip(*map(np.ndarray.tolist, simhash.forest(got[:, 0], got[:, 1])))} == brute(h)
+
+
 def test_simhash_awkward(spark, awkward):
     assert [tuple(r) for r in simhash.near_duplicates(awkward).collect()] == [(7, 6)]
     assert simhash.drop_near_duplicates(awkward).count() == 9
