@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -107,15 +107,31 @@ def list_items(html: str, list_id: str = "ul_articlelist") -> list[tuple]:
     return out
 
 
-def page_items(pages: DataFrame, list_id: str = "ul_articlelist") -> DataFrame:
-    """(page_no, pos, title, ps, lines, text): one row for each item of each saved page; the only step that leaves the JVM, by Arrow batches."""
+#: Pages whose rows are held in Python at a time.
+PAGES = 64
+
+
+def pieces(batch: pa.RecordBatch, rows_of: Callable[[str], list[tuple]], kinds: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """The rows of the pages (page_no, html) of a batch, PAGES pages at a time."""
+    for at in range(0, batch.num_rows, PAGES):
+        part = batch.slice(at, PAGES)
+        rows = [(page.as_py(), *r) for page, html in zip(part.column(0), part.column(1)) for r in rows_of(html.as_py())]
+        columns = zip(*rows) if rows else [()] * (1 + len(kinds))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), *kinds.values()))], names=["page_no", *kinds])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(page, *item) for page, html in zip(f["page_no"], f["html"]) for item in list_items(html, list_id)]
-            yield pd.DataFrame(rows, columns=["page_no", "pos", "title", "ps", "lines", "text"])
 
-    return pages.select("page_no", "html").mapInPandas(run, f"page_no long, {_ITEM}")
+def _by_page(pages: DataFrame, rows_of: Callable[[str], list[tuple]], schema: str, kinds: dict[str, pa.DataType]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from pieces(batch, rows_of, kinds)
+
+    return pages.select(F.col("page_no").cast("long").alias("page_no"), "html").mapInArrow(run, f"page_no long, {schema}")
+
+
+def page_items(pages: DataFrame, list_id: str = "ul_articlelist") -> DataFrame:
+    """(page_no, pos, title, ps, lines, text): one row for each item of each saved page; the only step that leaves the JVM, by Arrow batches."""
+    texts = pa.list_(pa.string())
+    return _by_page(pages, lambda html: list_items(html, list_id), _ITEM, {"pos": pa.int32(), "title": pa.string(), "ps": pa.list_(texts), "lines": texts, "text": pa.string()})
 
 
 def line_with(lines: Column | str, *labels: str) -> Column:
@@ -180,13 +196,7 @@ def result_rows(html: str, list_id: str = "DataList", per_page: int = 5) -> list
 
 def snippets(pages: DataFrame, per_page: int = 5) -> DataFrame:
     """(page_no, pos, source, content): the first rows of each result page, from the elements of class derivation and summary in one row."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(page, *r) for page, html in zip(f["page_no"], f["html"]) for r in result_rows(html, per_page=per_page)]
-            yield pd.DataFrame(rows, columns=["page_no", "pos", "source", "content"])
-
-    return pages.select("page_no", "html").mapInPandas(run, "page_no long, pos int, source string, content string")
+    return _by_page(pages, lambda html: result_rows(html, per_page=per_page), "pos int, source string, content string", {"pos": pa.int32(), "source": pa.string(), "content": pa.string()})
 
 
 def has_next(html: str, pager_id: str = "layui-laypage-0", cls: str = "layui-laypage-next", disabled: str = "layui-disabled", label: str = "下一页") -> bool:
@@ -200,12 +210,7 @@ def has_next(html: str, pager_id: str = "layui-laypage-0", cls: str = "layui-lay
 
 def next_pages(pages: DataFrame) -> DataFrame:
     """(page_no, more): whether a further page follows each saved one."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"page_no": f["page_no"], "more": [has_next(x) for x in f["html"]]})
-
-    return pages.select("page_no", "html").mapInPandas(run, "page_no long, more boolean")
+    return _by_page(pages, lambda html: [(has_next(html),)], "more boolean", {"more": pa.bool_()})
 
 
 def element_texts(html: Column | str, tag: str) -> Column:
