@@ -56,6 +56,8 @@ def combine(tokens: list[str], joined: frozenset[str], longest: int) -> list[str
 
 #: Terms of a list that goes to every task.
 MOST_TERMS = 1_000_000
+#: Texts whose tokens are held in Python at a time.
+TEXTS = 128
 
 
 @dataclass(frozen=True)
@@ -102,7 +104,8 @@ class Tokenizer:
                 return combine(out, joined, most_joined) if joined else out
 
             for batch in batches:
-                yield batch.map(one)
+                for at in range(0, len(batch), TEXTS):
+                    yield batch.iloc[at : at + TEXTS].map(one)
 
         return self.kept(segment(c))
 
