@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.stats import cosine
-from ..sources.shared import unused
+from ..sources.places import BROADCAST_ROWS
+from ..sources.shared import cut, unused
 from .weights import term_counts, weighted
 
 DECIMALS = 9
@@ -33,6 +34,14 @@ def sample_groups(docs: DataFrame, n: int, replicates: int, group: str = "year",
     return docs.crossJoin(F.broadcast(reps)).withColumn(k, F.row_number().over(order)).where(F.col(k) <= (size.n if size else 0)).drop(k)
 
 
+def sample_texts(docs: DataFrame, n: int, replicates: int, group: str = "year", doc: str = "doc_id", seed: str = "") -> DataFrame:
+    """sample_groups() where only ids are sorted: the other columns, stored, are those of the drawn documents, once for each replicate."""
+    ids = cut(sample_groups(docs.select(doc, group), n, replicates, group, doc, seed).distinct())
+    drawn = (F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids).alias("i")
+    found = docs.alias("d").join(drawn, F.col(f"d.`{doc}`").eqNullSafe(F.col(f"i.`{doc}`")) & F.col(f"d.`{group}`").eqNullSafe(F.col(f"i.`{group}`")))
+    return cut(found.select("i.rep", *(f"d.`{c}`" for c in docs.columns)))
+
+
 def count_vectors(tokens: DataFrame, group: str = "year") -> DataFrame:
     """(rep, group, term, w): relative frequency of each term in each group."""
     tf = term_counts(tokens, "rep", group)

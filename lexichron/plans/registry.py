@@ -325,7 +325,7 @@ def lda_topic_terms(spark, sf_dir):
 # a matrix of all pairs of periods, symmetrical, one on the diagonal, between 0 and 1
 @query(f"WITH {SIZES} SELECT a.source AS year_a, b.source AS year_b, true AS symmetrical, true AS within, a.source = b.source AS one FROM sz a, sz b")
 def sim_lda(spark, sf_dir):
-    d = similarity.sample_groups(_tokens_of(spark, sf_dir), SAMPLE, REPLICATES, "source")
+    d = similarity.sample_texts(_tokens_of(spark, sf_dir), SAMPLE, REPLICATES, "source")
     m = cut(similarity.over_replicates(topics.topic_similarity(d, group="source", k=10, passes=15)))
     other = m.select(F.col("year_b").alias("year_a"), F.col("year_a").alias("year_b"), F.col("mean").alias("m"), F.col("std").alias("s"))
     same = (F.abs(F.col("mean") - F.col("m")) < 1e-8) & (F.abs(F.col("std") - F.col("s")) < 1e-8)
