@@ -19,9 +19,13 @@ BOM = b"\xef\xbb\xbf"
 CSV = {"header": "true", "escape": '"', "nullValue": "", "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
+#: Rows of a CSV part at most: texts hold line breaks, so a part is read by one task.
+CSV_ROWS = 2000
+
+
 def write_csv(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """A folder of quoted CSV parts with headers."""
-    w = df.write.mode("overwrite").options(**CSV)
+    w = df.write.mode("overwrite").options(**CSV).option("maxRecordsPerFile", CSV_ROWS)
     (w.partitionBy(*partition_by) if partition_by else w).csv(path)
 
 
